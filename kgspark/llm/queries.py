@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import langid, media, mixing, neardup, quality, sentencepiece_codec, token_counts, token_files, topk
+from kgspark.llm import langid, lm, media, mixing, neardup, quality, sentencepiece_codec, token_counts, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +45,13 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_sentencepiece, op3_token_files, op4_language_id, op5_minhash_dedup, op6_token_counts, op7_media_columns, op8_quality_classifier, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_sentencepiece, op3_token_files, op4_language_id, op5_minhash_dedup, op6_token_counts, op7_media_columns, op8_quality_classifier, op9_lm_scores, op10_exact_topk)}
 ORACLE_SQL = {"op1_source_mix": mixing.ORACLE, "op10_exact_topk": topk.ORACLE}
