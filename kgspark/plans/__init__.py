@@ -1,0 +1 @@
+"""Queries that apply the operators to the driver's tables."""
