@@ -2,38 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kgspark.staging import shared_dir, staged
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors see.
-
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        top = f"file://{tempfile.mkdtemp(prefix='kgspark-')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/kgspark-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, **options: object) -> DataFrame:
-    """Write df once and read it back: cuts the lineage, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write
-    for k, v in options.items():
-        writer = writer.option(k, v)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "in_pieces", "shared_dir", "staged"]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -52,7 +30,7 @@ def byte_rows(column: pa.Array) -> list[bytes]:
 
 def in_pieces(batch: pa.RecordBatch, column: str, at_most: int = 4_000_000):
     """Slices of a batch with about at_most bytes of the column each, one row at least."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > at_most:
@@ -61,15 +39,3 @@ def in_pieces(batch: pa.RecordBatch, column: str, at_most: int = 4_000_000):
         total += n
     if start < len(lengths):
         yield batch.slice(start)
-
-
-class Memo(dict):
-    """A dict that forgets all once it holds more than size keys, so a worker's memory is bounded."""
-
-    def __init__(self, size: int = 200_000):
-        super().__init__()
-        self.size = size
-
-    def make_room(self) -> None:
-        if len(self) > self.size:
-            self.clear()

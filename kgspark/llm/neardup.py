@@ -1,10 +1,10 @@
 """Near-duplicates by MinHash bands with sequential Bayesian verification.
 
 Equal sets become one class first. The classes' signatures are cut into bands; a band's values name
-a bucket. Within a bucket candidates are compared in rounds: everyone with the bucket's leader,
-then, where a bucket still holds more than one component, further leaders, until no pair of
-different components is left uncompared. So a group of thousands of copies costs a comparison for
-each member, and no pair of a bucket is lost. A candidate's signatures are compared batch by batch;
+a bucket. Candidates are compared in rounds: each class with a leader of its buckets, then, where a
+bucket still holds more than one component, with all that are left, until no pair of different
+components is uncompared. So a group of thousands of copies costs a comparison or two for each
+member, and no pair of a bucket is lost. A candidate's signatures are compared batch by batch;
 it is dropped as soon as the posterior probability that its similarity reaches the threshold falls
 below the miss probability. Survivors are verified on the full shingle sets.
 """
@@ -19,17 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Memo, byte_rows, in_pieces, staged
+from kgspark.llm.common import byte_rows, in_pieces, staged
 from kgspark.operators.components import connected_components
 
 #: Words of a shingle; bands and rows: a pair at similarity 0.85 shares no band with probability 7e-8.
 WORDS, BANDS, ROWS = 5, 28, 5
-#: Signature positions compared at a time, and the chance at which a pair of enough similarity may be dropped.
-BATCH, MISS = 20, 1e-6
+#: Signature positions, how many are compared at a time, and the chance at which a pair of enough similarity may be dropped.
+HASHES, BATCH, MISS = 320, 20, 1e-5
 #: Percent of similarity that links. Below 6 shingles only equal sets reach it.
 PERCENT, LEAST = 85, 6
-#: Buckets up to this size are compared pair by pair after the first round; larger ones by leaders.
-SMALL, LEADERS = 32, 16
+#: Rounds with one comparison for each class, and entries of a bucket that meet in one block of the last round.
+TURNS, BLOCK = 3, 256
+
+#: Words whose hashes a worker keeps.
+KNOWN = 250_000
 
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WORDS)]
 
@@ -43,17 +46,19 @@ class Shingles:
     """Sorted distinct 64-bit hashes of a text's shingles of five lower-cased (A-Z) words."""
 
     def __init__(self):
-        self.known = Memo(150_000)
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        if len(known) > KNOWN:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        known.make_room()
         n = min(len(w), WORDS)
         total = np.full(len(w) - n + 1, n, np.uint64)
         for k in range(n):
@@ -64,19 +69,19 @@ class Shingles:
 @cache
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(5)
-    return rng.integers(0, 2**31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (BANDS * ROWS, 1), np.uint32)
+    return rng.integers(0, 2**31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (HASHES, 1), np.uint32)
 
 
 def minhash(shingles: np.ndarray) -> np.ndarray:
     a, b = _permutations()
-    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    x, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 2048):
         np.minimum(out, (a * x[None, at : at + 2048] + b).min(axis=1), out=out)
     return out
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    m = mins.reshape(BANDS, ROWS).astype(np.uint64)
+    m = mins[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[:, k])
@@ -112,7 +117,7 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
     j = (np.arange(4000) + 0.5) / 4000
     p = j + (1 - j) / 256
     out = []
-    for k in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for k in range(BATCH, HASHES + 1, BATCH):
         m = np.arange(k + 1)[:, None]
         like = m * np.log(p) + (k - m) * np.log1p(-p)
         like = np.exp(like - like.max(1, keepdims=True))
@@ -121,23 +126,94 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
     return np.array(out)
 
 
+def _alive(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs sig[x], sig[y] no batch of the signatures rules out, and their matches."""
+    alive, hits = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for k, need in enumerate(least_matches()):
+        part = sig[:, k * BATCH : (k + 1) * BATCH]
+        hits[alive] += (part[x[alive]] == part[y[alive]]).sum(1)
+        alive = alive[hits[alive] >= need]
+    return alive, hits[alive]
+
+
 def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that no batch of their signatures rules out."""
+    """The pairs (a, b) that no batch of their signatures rules out, with their matches (hits)."""
 
     def check(batches):
-        least = least_matches()
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-            alive, hits = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for k, need in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                hits[alive] += (x[alive, part] == y[alive, part]).sum(1)
-                alive = alive[hits[alive] >= need]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).take(pa.array(alive))
+            both = np.frombuffer(b"".join(b.column("sa").to_pylist() + b.column("sb").to_pylist()), np.uint8).reshape(2 * b.num_rows, -1)
+            at = np.arange(b.num_rows)
+            alive, hits = _alive(at, at + b.num_rows, both)
+            own = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).take(pa.array(alive))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits)], ["a", "b", "hits"])
 
     s = sigs.select("id", "sig")
     both = pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, hits long")
+
+
+def compare_blocks(entries: DataFrame, sigs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket, of different components and near sizes, that their signatures don't rule out.
+
+    A bucket of more than BLOCK entries is dealt into blocks, and each two blocks meet by
+    themselves: the pairs are compared in numpy arrays, and only those that survive become rows, in
+    the first band in which they agree.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    sizes = staged(entries.groupBy("key").agg(F.count("*").alias("m")))
+    x = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    x = x.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root")
+    x = x.join(sigs.select("id", "sig"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+
+    def pairs_of(t: pa.Table, cuts: np.ndarray):
+        own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
+        left, right, size = [], [], 0
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if i[lo] == j[lo]:
+                a, b = np.triu_indices(hi - lo, 1)
+            else:
+                k = int((own[lo:hi] == i[lo]).sum())
+                a, b = (g.ravel() for g in np.indices((k, hi - lo - k)))
+                b = b + k
+            left.append(a + lo)
+            right.append(b + lo)
+            size += len(a)
+            if size > 200_000:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, size = [], [], 0
+        if size:
+            yield np.concatenate(left), np.concatenate(right)
+
+    def compare(batches):
+        rest, names = None, ["a", "b"]
+
+        def found(t: pa.Table, cuts: np.ndarray):
+            ids, n, root, band = (t.column(c).to_numpy() for c in ("id", "n", "root", "band"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            for a, b in pairs_of(t, cuts):
+                ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+                a, b = a[ok], b[ok]
+                keep, _ = _alive(a, b, sig)
+                a, b = a[keep], b[keep]
+                agree = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
+                keep = np.flatnonzero(agree.argmax(1) == band[a])
+                x, y = ids[a[keep]], ids[b[keep]]
+                if len(keep):
+                    each = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], names)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            yield from found(t, starts)
+            rest = t.slice(int(starts[-1]))
+        if rest is not None and rest.num_rows:
+            yield from found(rest, np.array([0, rest.num_rows]))
+
+    return x.mapInArrow(compare, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -159,49 +235,47 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _pairs(x: DataFrame) -> DataFrame:
-    """Ordered, without repeats, and of sizes that can reach the threshold."""
-    near = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return x.where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _leaders(entries: DataFrame, turn: int) -> DataFrame:
+    """key, a, na, ra: the entry that comes first in each bucket in this turn's order."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")
+    firsts = entries.groupBy("key").agg(F.min(order).alias("x"))
+    return staged(firsts.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.root").alias("ra")))
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes reps(id, n, keys, sig), enough of them to join all that are connected."""
-    entries = reps.where("size(keys) > 0").select("id", "n", F.explode("keys").alias("key"))
+    """Edges (a, b) that join those of the classes reps(id, n, keys, sig) that links connect.
+
+    The first TURNS rounds hold each class's signature against the leaders of its buckets and verify
+    it with the likeliest one, which joins most groups at the cost of one comparison for each class. What still shares
+    a bucket with another component is then compared in full.
+    """
+    entries = reps.where("size(keys) > 0").select("id", "n", F.posexplode("keys").alias("band", "key"))
     several = staged(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    entries = staged(entries.join(several, "key").select("key", "id", "n"))
-    if entries.isEmpty():
-        return entries.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    sigs = staged(reps.select("id", "sig").join(entries.select("id").distinct(), "id"))
+    entries = staged(entries.join(several, "key").select("key", "band", "id", "n", F.col("id").alias("root")))
+    labels = staged(entries.select("id", "root").distinct())
+    sigs = staged(reps.select("id", "sig").join(labels.select("id"), "id", "left_semi"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = staged(own.join(sigs.select("id"), "id", "left_semi"))
-    found, turn, leaders = None, 0, 1
-    while True:
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")
-        if turn:
-            sizes = staged(entries.groupBy("key").agg(F.count("*").alias("m")))
-            sized = entries.join(sizes, "key")
-            little = staged(sized.where(F.col("m") <= SMALL).drop("m"))
-            x, y = (little.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("root").alias(f"r{i}")) for i in "ab")
-            pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b", "na", "nb")
-            entries = staged(sized.where(F.col("m") > SMALL).drop("m"))
-            leaders *= LEADERS if leaders == 1 else 2
-        else:
-            pairs, entries = None, entries.withColumn("root", F.col("id"))
-        firsts = entries.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(leaders)).alias("salt")).agg(F.min(order).alias("x"))
-        firsts = staged(firsts.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na")))
-        star = entries.join(firsts, "key").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
-        pairs = _pairs(star if pairs is None else star.unionByName(pairs))
-        linked = staged(verify(staged(prune(pairs, sigs)), texts))
-        found = linked if found is None else found.unionByName(linked)
-        roots = staged(connected_components(found).select(F.col("id"), F.col("root").alias("to")))
-        left = entries.drop("root").join(firsts.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
-        left = staged(left.join(roots, "id", "left").select("key", "id", "n", F.coalesce("to", "id").alias("root")))
-        mixed = staged(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-        entries = staged(left.join(mixed, "key"))
-        turn += 1
+    texts = staged(own.join(labels.select("id"), "id", "left_semi"))
+    near = (F.col("a") != F.col("id")) & (F.col("ra") != F.col("root")) & (100 * F.least("na", "n") >= PERCENT * F.greatest("na", "n"))
+    for turn in range(TURNS + 1):
         if entries.isEmpty():
-            return found
+            break
+        if turn < TURNS:
+            star = entries.join(_leaders(entries, turn), "key").where(near)
+            likely = prune(star.select("a", F.col("id").alias("b")).distinct(), sigs)
+            best = likely.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x"))
+            pairs = best.select(F.least("b", "x.a").alias("a"), F.greatest("b", "x.a").alias("b")).distinct()
+        else:
+            pairs = compare_blocks(entries, sigs)
+        linked = staged(verify(staged(pairs), texts))
+        edges = linked.join(labels.withColumnsRenamed({"id": "a", "root": "ra"}), "a").join(labels.withColumnsRenamed({"id": "b", "root": "rb"}), "b")
+        roots = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("was"), F.col("root").alias("to"))
+        labels = staged(labels.join(roots, F.col("root") == F.col("was"), "left").select("id", F.coalesce("to", "root").alias("root")))
+        if turn < TURNS:
+            left = staged(entries.drop("root").join(labels, "id").select("key", "band", "id", "n", "root"))
+            mixed = staged(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+            entries = staged(left.join(mixed, "key").select("key", "band", "id", "n", "root"))
+    return labels.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
