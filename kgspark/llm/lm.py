@@ -23,11 +23,11 @@ from kgspark.llm.common import byte_rows, crc_mod, in_pieces, staged
 from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
-BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 500, 256, 3
+BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
 #: Training texts for the network at most, by a hash of the id; the corpus counts cover every training text.
 TRAIN_ROWS = 1200
 #: Bytes of text whose words share one dictionary.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 
 
 @dataclass
@@ -63,7 +63,7 @@ def _blocks(own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 _CAUSAL = np.concatenate([np.zeros((BLOCK, BLOCK), np.float32), np.triu(np.full((BLOCK, BLOCK), -1e9, np.float32), 1)], 1)
 
 
-def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, normal: bool = False) -> dict[str, np.ndarray]:
     """All values on the way to the hidden states of the blocks x; before: the block before each."""
     e, eb = p["e"][x], p["e"][before]
     q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
@@ -72,15 +72,26 @@ def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first:
     s *= np.float32(WIDTH**-0.5)
     s += p["place"] + _CAUSAL
     s[first, :, :BLOCK] = -1e9
-    s -= s.max(2, keepdims=True)
+    np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    total = s @ np.ones((2 * BLOCK, 1), np.float32)
+    if normal:
+        s /= total
     c = s @ v2
+    if not normal:
+        c /= total
     h = e + c @ p["o"]
     f = np.maximum(h @ p["w1"] + p["b1"], 0)
     return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": s, "c": c, "h": h, "f": f, "out": h + f @ p["w2"]}
 
 
+def _picked(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Log softmax of each row of z at one place."""
+    np.minimum(z, 80, out=z)
+    own = z[np.arange(len(z)), of]
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+
+
 def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int = 1024) -> np.ndarray:
     """Natural log probability of each id, in order; an other id's share is spread over all of them."""
     p = net.p
@@ -95,17 +106,13 @@ def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int
         used = np.flatnonzero(t >= 0)
         h, t = h[used], t[used]
         cls, within = np.divmod(t, SIDE)
-        z = h @ p["c"] + p["cb"]
-        z -= z.max(1, keepdims=True)
-        lp = z[np.arange(len(t)), cls] - np.log(np.exp(z).sum(1))
+        lp = _picked(h @ p["c"] + p["cb"], cls)
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(SIDE + 1))
         for c in range(SIDE):
             rows = order[cuts[c] : cuts[c + 1]]
             if len(rows):
-                z = h[rows] @ tokens[c].T + bias[c]
-                z -= z.max(1, keepdims=True)
-                lp[rows] += z[np.arange(len(rows)), within[rows]] - np.log(np.exp(z).sum(1))
+                lp[rows] += _picked(h[rows] @ tokens[c].T + bias[c], within[rows])
         lp = lp.astype(np.float64)
         lp[t == 0] -= np.log(net.others)
         out[at * BLOCK + used] = lp
@@ -141,7 +148,7 @@ def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS) -> Networ
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    s = _hidden(p, x, before, first)
+    s = _hidden(p, x, before, first, True)
     t = target.ravel()
     used = np.flatnonzero(t >= 0)
     h, cls, within = s["out"].reshape(-1, WIDTH)[used], *np.divmod(t[used], SIDE)
@@ -188,8 +195,10 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, firs
 
 def learn(training: DataFrame, tokenizer_path: str, train_rows: int = TRAIN_ROWS) -> Network:
     """Fit the network on train_rows texts at most, those first by a hash of doc_id."""
-    some = training.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    texts = [r.text.encode().lower() for r in some.select("doc_id", "text").collect()]  # as many rows as the bound allows
+    ids = training.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
+    some = training.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").select("doc_id", "text")
+    texts = [r.text.encode().lower() for r in sorted(some.collect())]  # as many rows as the bound allows
     encoder = word_encoder(tokenizer_path)
     ids, n = encoder(texts)
     return fit(ids, n, len(encoder.ends))
@@ -214,26 +223,25 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
             for b in in_pieces(batch, "text", 2_000_000):
                 texts = [t.lower() for t in byte_rows(b.column("text"))]
                 ids, n = encode(texts)
-                own = np.insert(model.to_own[ids], np.cumsum(n), end)
-                lp = log_probabilities(model, own, n + 1)
-                sums = np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)) / np.log(10) if len(n) else []
+                lp = log_probabilities(model, np.insert(model.to_own[ids], np.cumsum(n), end), n + 1) / np.log(10)
+                scores = np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)).tolist()
+                size += sum(map(len, texts)) + 8 * len(texts)
+                words = [t.split() for t in texts]
+                for w in set().union(*words):
+                    if w not in places:
+                        places[w] = len(places)
+                m = np.array([len(w) for w in words], np.int64)
+                at = np.fromiter((places[w] for own in words for w in own), np.int32, int(m.sum()))
                 held = b.column("held_out").to_pylist()
-                for doc_id, h, text, score in zip(b.column("doc_id").to_pylist(), held, texts, sums):
-                    words = text.split()
-                    for w in set(words):
-                        if w not in places:
-                            places[w] = len(places)
-                    at = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                    index.append(at.tobytes())
-                    if not h:
-                        counts.append(at)
-                    rows.append((doc_id, h, len(words), float(score)))
-                    size += len(text) + 8
+                index.append(at.tobytes())
+                counts.append(at[np.repeat(~np.array(held, bool), m)])
+                rows += zip(b.column("doc_id").to_pylist(), held, m.tolist(), scores)
                 if size >= CHUNK:
                     yield chunk()
                     number, size, places, counts, index, rows = number + 1, 0, {}, [], [], []
         if rows:
             yield chunk()
+        encode.forget()  # the worker's memory is for the next stage
 
     return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, score array<double>, hashes array<long>, counts array<int>, places binary")
 
@@ -244,7 +252,7 @@ _CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), (
 def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row's whole text.
 
-    The network scores subword ids and the end; base_score is the sum of
+    score is the sum of the network's log10 probabilities of the subword ids and the end. base_score is the sum of
     log10((c + 1) / (N + V + 1)) of words and the end over the counts of all training texts. Words are counted within chunks of text, the
     chunks' counts are added by the words' hashes, and each chunk gets the counts of its own words
     back: neither the vocabulary nor the texts come together in one place. A null text is empty.
@@ -261,22 +269,21 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     back = places.join(known, "h").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").alias("c"))).alias("counts"))
     both = parts.select("chunk", "doc_id", "held_out", "n", "score", "places", F.size("hashes").alias("v")).join(back, "chunk", "left")
     lowest = np.log10(n + v + 1.0)
-    end = np.log10(ends + 1.0) - lowest
 
     def sums(batches):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
             for k in range(b.num_rows):
                 ids, held, own, score, pairs = (b.column(c)[k].values for c in ("doc_id", "held_out", "n", "score", "counts"))
-                count = np.zeros(b.column("v")[k].as_py(), np.int64)
+                count = np.zeros(b.column("v")[k].as_py() + 1, np.int64)
+                count[-1] = ends
                 if pairs is not None:
                     count[pairs.field("at").to_numpy()] = pairs.field("c").to_numpy()
-                at, m = np.frombuffer(b.column("places")[k].as_py(), np.int32), own.to_numpy()
-                starts = np.concatenate([[0], np.cumsum(m)])
-                logs = np.concatenate([[0.0], np.cumsum(np.log10(count + 1.0)[at] - lowest)])
-                base = logs[starts[1:]] - logs[starts[:-1]] + end
-                hits = np.concatenate([[0], np.cumsum(count[at] > 0)])
-                known_words = hits[starts[1:]] - hits[starts[:-1]] + (1 if ends else 0)
-                yield pa.RecordBatch.from_arrays([ids, held, pa.array(m + 1), pa.array(known_words, pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
+                m = own.to_numpy()
+                at = np.insert(np.frombuffer(b.column("places")[k].as_py(), np.int32), np.cumsum(m), len(count) - 1)
+                last = np.cumsum(m + 1)
+                per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], last])])
+                base = per_text(np.log10(count + 1.0)[at] - lowest)
+                yield pa.RecordBatch.from_arrays([ids, held, pa.array(m + 1), pa.array(per_text(count[at] > 0), pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
 
     return both.mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
