@@ -9,6 +9,7 @@ of documents, or the metadata alone, is read without the rest.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
 
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import Memo, byte_rows, in_pieces, shared_dir
+from kgspark.llm.common import byte_rows, in_pieces, shared_dir
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 #: Parquet writer settings: row groups of 16 MB, pages of 64 kB, dictionary pages that fall back to delta encoding (writer v2).
@@ -33,32 +34,79 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Lines of letters that NFC leaves one by one, then ASCII signs other than ' and <; any other line gives two empty groups.
+_PLAIN = re.compile("^(?:([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\\[-`{-~]*)|.*)$", re.MULTILINE)
+
+
 class WordEncoder:
     """Encodes whole texts word by word, each distinct word once.
 
-    Only for a tokenizer of which no token spans white space and whose pre-tokenizer and normaliser
-    see no further than the next white space, as word_bpe_49k.json: then the ids of a text are the
-    ids of its words in turn. Words are cut at ASCII white space only; whatever other white space
-    they hold is left to the tokenizer. The tests hold this against encoding whole texts.
+    Only for a tokenizer of which no token spans white space, whose pre-tokenizer and normaliser
+    see no further than the next white space, and which ends each pre-token with a mark, as
+    word_bpe_49k.json does: then the ids of a text are the ids of its words in turn, and those of a
+    word of letters and signs are the ids of the letters and of the signs. Words are cut at ASCII
+    white space only; whatever other white space they hold is left to the tokenizer. New letter
+    runs are encoded many at a time and cut at the end marks. The tests hold this against encoding
+    whole texts. What is known is kept for the worker's later tasks, up to a fixed number of words.
     """
 
-    def __init__(self, path: str):
-        self.path, self.known = path, Memo()
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and the number of ids of each text."""
-        self.known.make_room()
+    def __init__(self, path: str, keep: int = 400_000):
+        self.tokenizer, self.keep = tokenizer(path), keep
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+
+    def _learn_runs(self, new: list[str]) -> None:
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            ids = self._encode(" ".join(some))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                self.runs.update(zip(some, [raw[4 * i : 4 * j] for i, j in zip([0, *cuts.tolist()], cuts.tolist())]))
+            else:
+                self.runs.update((x, self._encode(x).tobytes()) for x in some)
+
+    def _learn(self, new: list[bytes]) -> None:
+        lines = b"\n".join(new).decode("utf-8", "replace")
+        split, runs = _PLAIN.findall(lines.lower()), self.runs
+        self._learn_runs([x for x in {r for r, _ in split} | {s for _, s in split} if x and x not in runs])
+        odd = [k for k, (r, _) in enumerate(split) if not r]
+        ids = [runs[r] + runs[s] if s else runs[r] if r else b"" for r, s in split]
+        lines = lines.split("\n") if odd else []
+        for k in odd:
+            ids[k] = self._encode(lines[k]).tobytes()
+        self.words.update(zip(new, ids))
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.runs.clear()
+
+    def __call__(self, texts: list[bytes], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's followed by end, and the number of ids of each text."""
+        if len(self.words) > self.keep:
+            self.words.clear()
+        if len(self.runs) > self.keep:
+            self.runs.clear()
         words = [t.split() for t in texts]
-        known = self.known
-        new = list(set().union(*words).difference(known)) if words else []
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<i4").tobytes()
-        parts = [b"".join([known[w] for w in ws]) for ws in words]
+        known = self.words
+        if new := [w for w in set().union(*words) if w not in known]:
+            self._learn(new)
+        last = np.array(end, "<i4").tobytes()
+        parts = [b"".join(map(known.__getitem__, ws)) + last for ws in words]
         return np.frombuffer(b"".join(parts), "<i4"), np.array([len(p) // 4 for p in parts], np.int64)
 
 
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> str:
     """Encode doc_id and text of docs to Parquet files below path; returns path.
 
@@ -67,12 +115,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """
 
     def encode(batches):
-        part, first, words = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer_path)
+        part, first, words = TaskContext.get().partitionId(), 0, word_encoder(tokenizer_path)
         for batch in batches:
             for b in in_pieces(batch, "text"):
-                ids, n = words(byte_rows(b.column("text")))
-                ends = np.cumsum(n)
-                ids, n = np.insert(ids, ends, end_id), n + 1
+                ids, n = words(byte_rows(b.column("text")), (end_id,))
                 at = np.concatenate([[0], np.cumsum(n)])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part), pa.int32()), pa.array(first + at[:-1], pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "part", "first", "n_tokens", "ids"])
