@@ -25,7 +25,7 @@ from kgspark.operators.components import connected_components
 #: Words of a shingle; bands and rows: a pair at similarity 0.85 shares no band with probability 7e-8.
 WORDS, BANDS, ROWS = 5, 28, 5
 #: Signature positions, how many are compared at a time, and the chance at which a pair of enough similarity may be dropped.
-HASHES, BATCH, MISS = 320, 20, 1e-5
+HASHES, BATCH, MISS = 640, 20, 1e-5
 #: Percent of similarity that links. Below 6 shingles only equal sets reach it.
 PERCENT, LEAST = 85, 6
 #: Rounds with one comparison for each class, and entries of a bucket that meet in one block of the last round.
