@@ -50,7 +50,7 @@ class WordEncoder:
     whole texts. What is known is kept for the worker's later tasks, up to a fixed number of words.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         self.tokenizer, self.keep = tokenizer(path), keep
         self.words: dict[bytes, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -59,11 +59,11 @@ class WordEncoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
 
     def _learn_runs(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
+        for at in range(0, len(new), 500):
+            some = new[at : at + 500]
             ids = self._encode(" ".join(some))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some):
@@ -84,27 +84,33 @@ class WordEncoder:
         self.words.update(zip(new, ids))
 
     def forget(self) -> None:
-        self.words.clear()
-        self.runs.clear()
+        self.words, self.runs = {}, {}
 
-    def __call__(self, texts: list[bytes], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, each text's followed by end, and the number of ids of each text."""
+    def learn(self, words: list[list[bytes]]) -> None:
+        """Get to know all words."""
         if len(self.words) > self.keep:
-            self.words.clear()
+            self.words = {}
         if len(self.runs) > self.keep:
-            self.runs.clear()
-        words = [t.split() for t in texts]
+            self.runs = {}
         known = self.words
         if new := [w for w in set().union(*words) if w not in known]:
             self._learn(new)
+
+    def ids(self, words: list[list[bytes]], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts cut into words in a row, each text's followed by end, and the number of ids of each text."""
+        self.learn(words)
         last = np.array(end, "<i4").tobytes()
-        parts = [b"".join(map(known.__getitem__, ws)) + last for ws in words]
+        parts = [b"".join(map(self.words.__getitem__, ws)) + last for ws in words]
         return np.frombuffer(b"".join(parts), "<i4"), np.array([len(p) // 4 for p in parts], np.int64)
 
+    def __call__(self, texts: list[bytes], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's followed by end, and the number of ids of each text."""
+        return self.ids([t.split() for t in texts], end)
+
 
 @cache
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_encoder(path: str, keep: int = 800_000) -> WordEncoder:
+    return WordEncoder(path, keep)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> str:
