@@ -9,8 +9,8 @@ thousands of blocks at a time.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
 TRAIN_ROWS = 1200
 #: Bytes of text whose words share one dictionary.
 CHUNK = 6 << 20
+#: Distinct words whose ids a worker keeps: fewer than for token files, as blocks and counts need memory too.
+KEEP = 300_000
 
 
 @dataclass
@@ -63,26 +65,42 @@ def _blocks(own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 _CAUSAL = np.concatenate([np.zeros((BLOCK, BLOCK), np.float32), np.triu(np.full((BLOCK, BLOCK), -1e9, np.float32), 1)], 1)
 
 
-def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, normal: bool = False) -> dict[str, np.ndarray]:
-    """All values on the way to the hidden states of the blocks x; before: the block before each."""
-    e, eb = p["e"][x], p["e"][before]
-    q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-    k2, v2 = np.concatenate([eb @ p["k"], k], 1), np.concatenate([eb @ p["v"], v], 1)
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray | None, first: np.ndarray, normal: bool = False) -> dict[str, np.ndarray]:
+    """All values on the way to the hidden states of the blocks x; before: the block before each.
+
+    None for before: each block follows the one above it, and the first of x has no states.
+    """
+    e = p["e"].take(x if before is None else np.concatenate([before, x]), 0)
+    k, v = _dense(e, p["k"]), _dense(e, p["v"])
+    n = len(first)
+    k2, v2 = np.concatenate([k[:n], k[-n:]], 1), np.concatenate([v[:n], v[-n:]], 1)
+    eb, e = e[:n], e[-n:]
+    q = _dense(e, p["q"])
     s = q @ k2.transpose(0, 2, 1)
     s *= np.float32(WIDTH**-0.5)
     s += p["place"] + _CAUSAL
     s[first, :, :BLOCK] = -1e9
     np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
     np.exp(s, out=s)
-    total = s @ np.ones((2 * BLOCK, 1), np.float32)
+    total = _dense(s, np.ones((2 * BLOCK, 1), np.float32))
     if normal:
         s /= total
     c = s @ v2
     if not normal:
         c /= total
-    h = e + c @ p["o"]
-    f = np.maximum(h @ p["w1"] + p["b1"], 0)
-    return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": s, "c": c, "h": h, "f": f, "out": h + f @ p["w2"]}
+    h = _dense(c, p["o"])
+    h += e
+    f = _dense(h, p["w1"])
+    f += p["b1"]
+    np.maximum(f, 0, out=f)
+    out = _dense(f, p["w2"])
+    out += h
+    return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": s, "c": c, "h": h, "f": f, "out": out}
+
+
+def _dense(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """a @ w as one product of two matrices; numpy would make one for each block."""
+    return (a.reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], -1)
 
 
 def _picked(z: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -97,22 +115,22 @@ def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int
     p = net.p
     x, target, first = _blocks(own, n)
     out = np.zeros(target.size, np.float64)
-    before = np.roll(x, 1, 0)
+    x = np.concatenate([x[:1], x])
     tokens, bias = p["t"].reshape(SIDE, SIDE, WIDTH), p["tb"].reshape(SIDE, SIDE)
-    for at in range(0, len(x), at_once):
-        part = slice(at, at + at_once)
-        h = _hidden(p, x[part], before[part], first[part])["out"].reshape(-1, WIDTH)
-        t = target[part].ravel()
+    for at in range(0, len(first), at_once):
+        part = first[at : at + at_once]
+        h = _hidden(p, x[at : at + len(part) + 1], None, part)["out"].reshape(-1, WIDTH)
+        t = target[at : at + at_once].ravel()
         used = np.flatnonzero(t >= 0)
-        h, t = h[used], t[used]
-        cls, within = np.divmod(t, SIDE)
+        h, t = h.take(used, 0), t[used]
+        cls, within = np.divmod(t, np.int32(SIDE))
         lp = _picked(h @ p["c"] + p["cb"], cls)
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(SIDE + 1))
-        for c in range(SIDE):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                lp[rows] += _picked(h[rows] @ tokens[c].T + bias[c], within[rows])
+        h, within, more = h.take(order, 0), within[order], np.empty_like(lp)
+        for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            more[i:j] = _picked(h[i:j] @ tokens[c].T + bias[c], within[i:j])
+        lp[order] += more
         lp = lp.astype(np.float64)
         lp[t == 0] -= np.log(net.others)
         out[at * BLOCK + used] = lp
@@ -199,20 +217,28 @@ def learn(training: DataFrame, tokenizer_path: str, train_rows: int = TRAIN_ROWS
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     some = training.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").select("doc_id", "text")
     texts = [r.text.encode().lower() for r in sorted(some.collect())]  # as many rows as the bound allows
-    encoder = word_encoder(tokenizer_path)
+    encoder = word_encoder(tokenizer_path, KEEP)
     ids, n = encoder(texts)
     return fit(ids, n, len(encoder.ends))
 
 
+class _Places(dict):
+    """Numbers the keys asked for, from 0."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
     """One row for each chunk of text: its documents' scores, its distinct words' hashes and training counts, its words by place."""
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
-        model, encode = sent.value, word_encoder(tokenizer_path)
+        model, encode = sent.value, word_encoder(tokenizer_path, KEEP)
         end = SIDE * SIDE - 1
         task = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
-        number, size, places, counts, index, rows = 0, 0, {}, [], [], []
+        number, size, places, counts, index, rows = 0, 0, _Places(), [], [], []
 
         def chunk():
             words = list(places)
@@ -222,23 +248,20 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
         for batch in batches:
             for b in in_pieces(batch, "text", 2_000_000):
                 texts = [t.lower() for t in byte_rows(b.column("text"))]
-                ids, n = encode(texts)
+                words = [t.split() for t in texts]
+                m = np.array([len(w) for w in words], np.int64)
+                ids, n = encode.ids(words)
                 lp = log_probabilities(model, np.insert(model.to_own[ids], np.cumsum(n), end), n + 1) / np.log(10)
                 scores = np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)).tolist()
                 size += sum(map(len, texts)) + 8 * len(texts)
-                words = [t.split() for t in texts]
-                for w in set().union(*words):
-                    if w not in places:
-                        places[w] = len(places)
-                m = np.array([len(w) for w in words], np.int64)
-                at = np.fromiter((places[w] for own in words for w in own), np.int32, int(m.sum()))
+                at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int32, int(m.sum()))
                 held = b.column("held_out").to_pylist()
                 index.append(at.tobytes())
                 counts.append(at[np.repeat(~np.array(held, bool), m)])
                 rows += zip(b.column("doc_id").to_pylist(), held, m.tolist(), scores)
                 if size >= CHUNK:
                     yield chunk()
-                    number, size, places, counts, index, rows = number + 1, 0, {}, [], [], []
+                    number, size, places, counts, index, rows = number + 1, 0, _Places(), [], [], []
         if rows:
             yield chunk()
         encode.forget()  # the worker's memory is for the next stage
