@@ -65,37 +65,19 @@ def _blocks(own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 _CAUSAL = np.concatenate([np.zeros((BLOCK, BLOCK), np.float32), np.triu(np.full((BLOCK, BLOCK), -1e9, np.float32), 1)], 1)
 
 
-def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray | None, first: np.ndarray, normal: bool = False) -> dict[str, np.ndarray]:
-    """All values on the way to the hidden states of the blocks x; before: the block before each.
-
-    None for before: each block follows the one above it, and the first of x has no states.
-    """
-    e = p["e"].take(x if before is None else np.concatenate([before, x]), 0)
-    k, v = _dense(e, p["k"]), _dense(e, p["v"])
-    n = len(first)
-    k2, v2 = np.concatenate([k[:n], k[-n:]], 1), np.concatenate([v[:n], v[-n:]], 1)
-    eb, e = e[:n], e[-n:]
-    q = _dense(e, p["q"])
-    s = q @ k2.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s += p["place"] + _CAUSAL
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """All values on the way to the hidden states of the blocks x, for training; before: the block before each."""
+    e, eb = p["e"].take(x, 0), p["e"].take(before, 0)
+    both = np.concatenate([eb, e], 1)
+    k2, v2, q = _dense(both, p["k"]), _dense(both, p["v"]), _dense(e, p["q"])
+    s = q @ k2.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + p["place"] + _CAUSAL
     s[first, :, :BLOCK] = -1e9
-    np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
-    np.exp(s, out=s)
-    total = _dense(s, np.ones((2 * BLOCK, 1), np.float32))
-    if normal:
-        s /= total
-    c = s @ v2
-    if not normal:
-        c /= total
-    h = _dense(c, p["o"])
-    h += e
-    f = _dense(h, p["w1"])
-    f += p["b1"]
-    np.maximum(f, 0, out=f)
-    out = _dense(f, p["w2"])
-    out += h
-    return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": s, "c": c, "h": h, "f": f, "out": out}
+    a = np.exp(np.minimum(s, 60))  # instead of the row's maximum: keeps exp finite
+    a /= a.sum(2, keepdims=True)
+    c = a @ v2
+    h = _dense(c, p["o"]) + e
+    f = np.maximum(_dense(h, p["w1"]) + p["b1"], 0)
+    return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": a, "c": c, "h": h, "f": f, "out": _dense(f, p["w2"]) + h}
 
 
 def _dense(a: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -103,36 +85,73 @@ def _dense(a: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], -1)
 
 
-def _picked(z: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Log softmax of each row of z at one place."""
-    np.minimum(z, 80, out=z)
-    own = z[np.arange(len(z)), of]
-    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
-
+def _states(net: Network):
+    """Function of blocks that follow each other to their hidden states; the first block only precedes the second.
 
-def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int = 1024) -> np.ndarray:
-    """Natural log probability of each id, in order; an other id's share is spread over all of them."""
+    Queries, keys and values depend on the id alone, so they are looked up in tables of all ids.
+    """
     p = net.p
+    e, q, k, v = p["e"], p["e"] @ (p["q"] * np.float32(WIDTH**-0.5)), p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]
+    mask, ones = p["place"] + _CAUSAL, np.ones((2 * BLOCK, 1), np.float32)
+
+    def states(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+        kx, vx = k.take(x, 0), v.take(x, 0)
+        s = q.take(x[1:], 0) @ np.concatenate([kx[:-1], kx[1:]], 1).transpose(0, 2, 1)
+        s += mask
+        s[first, :, :BLOCK] = -1e9
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        h = s @ np.concatenate([vx[:-1], vx[1:]], 1)
+        h /= _dense(s, ones)
+        h += e.take(x[1:], 0)
+        f = _dense(h, p["w1"])
+        f += p["b1"]
+        np.maximum(f, 0, out=f)
+        h += _dense(f, p["w2"])
+        return h.reshape(-1, WIDTH)
+
+    return states
+
+
+def _log_total(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of exp of each row; minus its maximum only where a sum is out of range."""
+    with np.errstate(over="ignore", divide="ignore"):
+        total = np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))
+    if np.isfinite(total).all():
+        return total
+    top = z.max(1)
+    return top + np.log(np.exp(z - top[:, None]).sum(1))
+
+
+def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int = 4096, blocks: int = 32) -> np.ndarray:
+    """Natural log probability of each id, in order; an other id's share is spread over all of them.
+
+    Attention runs over a few blocks at a time, which stay in the processor's cache, the softmax over the
+    targets of at_once blocks, sorted by class.
+    """
+    p, states = net.p, _states(net)
     x, target, first = _blocks(own, n)
     out = np.zeros(target.size, np.float64)
     x = np.concatenate([x[:1], x])
     tokens, bias = p["t"].reshape(SIDE, SIDE, WIDTH), p["tb"].reshape(SIDE, SIDE)
     for at in range(0, len(first), at_once):
         part = first[at : at + at_once]
-        h = _hidden(p, x[at : at + len(part) + 1], None, part)["out"].reshape(-1, WIDTH)
+        h = np.concatenate([states(x[at + i : at + i + blocks + 1][: len(part) - i + 1], part[i : i + blocks]) for i in range(0, len(part), blocks)])
         t = target[at : at + at_once].ravel()
         used = np.flatnonzero(t >= 0)
-        h, t = h.take(used, 0), t[used]
-        cls, within = np.divmod(t, np.int32(SIDE))
-        lp = _picked(h @ p["c"] + p["cb"], cls)
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(SIDE + 1))
-        h, within, more = h.take(order, 0), within[order], np.empty_like(lp)
+        used = used.take(np.argsort((t[used] // SIDE).astype(np.int16), kind="stable"))
+        h, (cls, within) = h.take(used, 0), np.divmod(t[used], np.int32(SIDE))
+        cuts = np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
+        lp = np.empty(len(used), np.float32)
         for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
-            more[i:j] = _picked(h[i:j] @ tokens[c].T + bias[c], within[i:j])
-        lp[order] += more
+            for u in range(i, j, 2048):
+                w = min(u + 2048, j)
+                z, y = h[u:w] @ p["c"], h[u:w] @ tokens[c].T
+                z += p["cb"]
+                y += bias[c]
+                lp[u:w] = z[:, c] + y[np.arange(w - u), within[u:w]] - _log_total(z) - _log_total(y)
         lp = lp.astype(np.float64)
-        lp[t == 0] -= np.log(net.others)
+        lp[t[used] == 0] -= np.log(net.others)
         out[at * BLOCK + used] = lp
     return out[target.ravel() >= 0]
 
@@ -166,7 +185,7 @@ def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS) -> Networ
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    s = _hidden(p, x, before, first, True)
+    s = _hidden(p, x, before, first)
     t = target.ravel()
     used = np.flatnonzero(t >= 0)
     h, cls, within = s["out"].reshape(-1, WIDTH)[used], *np.divmod(t[used], SIDE)
