@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -257,7 +257,7 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
         model, encode = sent.value, word_encoder(tokenizer_path, KEEP)
         end = SIDE * SIDE - 1
         task = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
-        number, size, places, counts, index, rows = 0, 0, _Places(), [], [], []
+        number, size, places, raw, counts, index, rows = 0, 0, _Places(), [], [], [], []
 
         def chunk():
             words = list(places)
@@ -269,18 +269,21 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
                 texts = [t.lower() for t in byte_rows(b.column("text"))]
                 words = [t.split() for t in texts]
                 m = np.array([len(w) for w in words], np.int64)
-                ids, n = encode.ids(words)
+                at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int32, int(m.sum()))
+                if len(raw) < len(places):
+                    raw += encode.known(list(islice(places, len(raw), None)))
+                ids = np.frombuffer(b"".join(map(raw.__getitem__, at.tolist())), "<i4")
+                n = np.diff(np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))[at] // 4)])[np.concatenate([[0], np.cumsum(m)])])
                 lp = log_probabilities(model, np.insert(model.to_own[ids], np.cumsum(n), end), n + 1) / np.log(10)
                 scores = np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)).tolist()
                 size += sum(map(len, texts)) + 8 * len(texts)
-                at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int32, int(m.sum()))
                 held = b.column("held_out").to_pylist()
                 index.append(at.tobytes())
                 counts.append(at[np.repeat(~np.array(held, bool), m)])
                 rows += zip(b.column("doc_id").to_pylist(), held, m.tolist(), scores)
                 if size >= CHUNK:
                     yield chunk()
-                    number, size, places, counts, index, rows = number + 1, 0, _Places(), [], [], []
+                    number, size, places, raw, counts, index, rows = number + 1, 0, _Places(), [], [], [], []
         if rows:
             yield chunk()
         encode.forget()  # the worker's memory is for the next stage

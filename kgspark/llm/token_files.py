@@ -96,6 +96,11 @@ class WordEncoder:
         if new := [w for w in set().union(*words) if w not in known]:
             self._learn(new)
 
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers."""
+        self.learn([words])
+        return list(map(self.words.__getitem__, words))
+
     def ids(self, words: list[list[bytes]], end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts cut into words in a row, each text's followed by end, and the number of ids of each text."""
         self.learn(words)
