@@ -46,3 +46,11 @@ def percent(c: Column) -> Column:
 def entity_text(*columns: Column) -> Column:
     """Non-empty parts joined by a space, as the embedding's input."""
     return F.concat_ws(" ", *[falsy(c) for c in columns])
+
+
+def overlapping(c: Column, size: int, overlap: int) -> Column:
+    """Array of pieces of size characters, each sharing overlap with the one before; none for an empty text."""
+    step = size - overlap
+    last = F.greatest(F.lit(0), F.ceil((F.length(c) - overlap) / step).cast("int") - 1)
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: c.substr(i * step + 1, F.lit(size)))
+    return F.when(c != "", pieces)

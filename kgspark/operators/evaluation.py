@@ -33,3 +33,12 @@ def histogram(rows: DataFrame, value: str, bins: list[float]) -> DataFrame:
 def unpivot_mean(rows: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     long = rows.unpivot(ids, metrics, "metric", "score").where("score > 0")
     return long.groupBy("metric").agg(F.round(F.avg("score"), 6).alias("mean"))
+
+
+def density(rows: DataFrame, group: str, value: str, points: list[float]) -> DataFrame:
+    """Gaussian kernel density of each group's values at the points; the bandwidth is deviation * n ** -0.2."""
+    v = F.col(value)
+    size = rows.groupBy(group).agg(F.count(value).alias("n"), (F.stddev_samp(v) * F.count(value) ** -0.2).alias("h"))
+    at = rows.join(size, group).withColumn("x", F.explode(F.array(*map(F.lit, points))))
+    total = F.sum(F.exp(-0.5 * ((F.col("x") - v) / F.col("h")) ** 2)) / (F.first("n") * F.first("h") * F.sqrt(2 * F.pi()))
+    return at.groupBy(group, "x").agg(F.round(total, 8).alias("density"))

@@ -12,14 +12,16 @@ def merge_components(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row for each component of accepted pairs (a, b) over entities(id, ord, name, type, description).
 
     The component takes name and type of its first member; descriptions are distinct, in order.
-    Pairs with an unknown id are ignored.
+    Pairs with an unknown id are ignored. With a column chunk, first (the lowest ord) and the distinct chunks come too.
     """
     ids = entities.select("id")
     known = pairs.join(ids.withColumnRenamed("id", "a"), "a").join(ids.withColumnRenamed("id", "b"), "b")
     e = entities.join(connected_components(known), "id", "left").withColumn("root", F.coalesce("root", "id"))
     firsts = F.array_sort(F.collect_list(F.struct("ord", "description")))
-    out = e.groupBy("root").agg(F.min_by(F.struct("name", "type"), "ord").alias("main"), firsts.alias("d"), F.count("*").alias("members"))
-    return out.select("root", "main.name", "main.type", F.array_distinct(F.transform("d", lambda x: x["description"])).alias("descriptions"), "members")
+    chunks = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk"))), lambda x: x["chunk"]))
+    more = {"first": F.min("ord"), "chunks": chunks} if "chunk" in entities.columns else {}
+    out = e.groupBy("root").agg(F.min_by(F.struct("name", "type"), "ord").alias("main"), firsts.alias("d"), F.count("*").alias("members"), *[c.alias(n) for n, c in more.items()])
+    return out.select("root", "main.name", "main.type", F.array_distinct(F.transform("d", lambda x: x["description"])).alias("descriptions"), "members", *more)
 
 
 def digraph(edges: DataFrame) -> DataFrame:
@@ -40,23 +42,25 @@ def context(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return near.join(edges, F.col("node") == F.col("src")).select("start", "src", "relation", "dst").distinct()
 
 
-def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def first_wins(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """The first row of each key."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
-def merge_graph(subgraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def merge_graph(subgraphs: DataFrame, topic: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of subgraphs(ord, name, type, description, relationships array<struct>).
 
     Central entities come first by name, then targets not seen before; relations keep repeats.
+    topic: a column whose values have a graph each.
     """
-    r = subgraphs.select("ord", F.col("name").alias("head"), F.posexplode("relationships").alias("at", "r"))
+    by = [topic] if topic else []
+    r = subgraphs.select(*by, "ord", F.col("name").alias("head"), F.posexplode("relationships").alias("at", "r"))
     r = r.where("nullif(r.target_name, '') is not null")
-    centre = subgraphs.select(F.lit(0).alias("step"), "ord", F.lit(0).alias("at"), "name", "type", "description")
-    target = r.select(F.lit(1).alias("step"), "ord", "at", F.col("r.target_name").alias("name"), F.col("r.target_type").alias("type"), F.col("r.target_description").alias("description"))
-    entities = first_wins(centre.unionByName(target), "name", "step", "ord", "at")
-    relations = r.select("ord", "at", "head", F.col("r.relation").alias("relation"), F.col("r.target_name").alias("tail"), F.col("r.relation_description").alias("description"))
+    centre = subgraphs.select(*by, F.lit(0).alias("step"), "ord", F.lit(0).alias("at"), "name", "type", "description")
+    target = r.select(*by, F.lit(1).alias("step"), "ord", "at", F.col("r.target_name").alias("name"), F.col("r.target_type").alias("type"), F.col("r.target_description").alias("description"))
+    entities = first_wins(centre.unionByName(target), [*by, "name"], "step", "ord", "at")
+    relations = r.select(*by, "ord", "at", "head", F.col("r.relation").alias("relation"), F.col("r.target_name").alias("tail"), F.col("r.relation_description").alias("description"))
     return entities.drop("step", "ord", "at"), relations
 
 

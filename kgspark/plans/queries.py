@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark import providers
 from kgspark.functions import normalize, text, typing_rules
 from kgspark.operators import cleaning, evaluation, graph, retrieval
+from kgspark.plans import construct
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -309,9 +311,9 @@ def union_distinct(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 7 = 0")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem")
 def set_difference(t):
-    return t("nation").select(F.col("n_nationkey").alias("k")).subtract(t("supplier").where("s_suppkey % 7 = 0").select("s_nationkey"))
+    return t("part").select(F.col("p_partkey").alias("k")).subtract(t("lineitem").select("l_partkey"))
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -324,9 +326,41 @@ def dedup_titles(t):
     return t("part").select(F.col("p_name").alias("title")).distinct()
 
 
-@query("SELECT a.label AS label, a.vec_id AS std, arg_max(b.vec_id, (round(" + _COS + ", 6), -b.vec_id)) AS eval FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 WHERE round(" + _COS + ", 6) > 0 GROUP BY ALL")
+@query("SELECT a.label AS label, a.vec_id AS std, arg_max(b.vec_id, (round(" + _COS + ", 6), -b.vec_id)) AS eval FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE round(" + _COS + ", 6) > 0 GROUP BY ALL")
 def best_match(t):
     v = _vectors(t)
-    std, ev = v.where("id % 2 = 0"), v.where("id % 2 = 1")
-    top = retrieval.top_within(std, ev, "label", 1).where("similarity > 0")
-    return top.join(std.select(F.col("id").alias("query"), "label"), "query").select("label", F.col("query").alias("std"), F.col("id").alias("eval"))
+    top = retrieval.top_within(v, v, "label", 2).where("similarity > 0 AND query <> id")  # the best other row is among the two
+    best = top.groupBy("query").agg(F.min_by("id", "rank").alias("eval"))
+    return best.join(v.select(F.col("id").alias("query"), "label"), "query").select("label", F.col("query").alias("std"), "eval")
+
+
+@query("SELECT c_custkey AS a, o_orderstatus AS relation, o_orderkey AS b, c_name AS head FROM orders JOIN customer ON o_custkey = c_custkey")
+def node_edge_pattern(t):
+    edges = t("orders").select(F.col("o_custkey").alias("a"), F.col("o_orderstatus").alias("relation"), F.col("o_orderkey").alias("b"))
+    return edges.join(t("customer").select(F.col("c_custkey").alias("a"), F.col("c_name").alias("head")), "a")
+
+
+@query("SELECT doc_id, i AS place, substr(text, (i * 1100 + 1)::BIGINT, 1200) AS chunk FROM documents, LATERAL (SELECT unnest(range(greatest(1, ceil((length(text) - 100) / 1100.0)::BIGINT))) AS i) WHERE text <> ''")
+def overlap_chunks(t):
+    return t("documents").select("doc_id", F.posexplode(text.overlapping(F.col("text"), 1200, 100)).alias("at", "chunk")).select("doc_id", F.col("at").cast("long").alias("place"), "chunk")
+
+
+@query("SELECT event_type, i * 10.0::DOUBLE AS x, round(sum(exp(-0.5 * ((i * 10.0 - value) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) AS density FROM (SELECT *, d * n ** -0.2 AS h FROM events JOIN (SELECT event_type, count(*) AS n, stddev_samp(value) AS d FROM events GROUP BY event_type) USING (event_type)), range(11) r(i) GROUP BY event_type, i")
+def density_curve(t):
+    return evaluation.density(t("events"), "event_type", "value", [10.0 * i for i in range(11)])
+
+
+@query()
+def construct_entities(t):
+    """Names of the graphs built from whole conversations, by the provider of rules."""
+    return construct.construct(_conversations(t), providers.Rules())[0].select("topic", "name", "type", F.md5(F.col("description").cast("binary")).alias("description_md5"))
+
+
+@query()
+def construct_relations(t):
+    return construct.construct(_conversations(t), providers.Rules())[1].select("topic", "head", "relation", "tail")
+
+
+def _conversations(t) -> DataFrame:
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t("conversations").groupBy(F.col("conv_id").alias("topic")).agg(F.array_join(turns, "\n").alias("content"))

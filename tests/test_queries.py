@@ -64,3 +64,31 @@ def test_graph_files(spark, tmp_path):
     g = readers.graph_json(spark, str(tmp_path))
     assert sorted((r.name, r.type) for r in readers.entities(g).collect()) == [("x", None), ("y", "T"), ("z", None)]
     assert sorted((r.head, r.relation, r.tail) for r in readers.relations(g).collect()) == [("x", "r", "y"), ("y", "p", "x")]
+
+
+def test_construct(spark):
+    from kgspark.plans.construct import construct
+    from kgspark.providers import Rules
+
+    topics = spark.createDataFrame([("a", "Ada Byron met Charles. Byron Ada wrote notes. Charles was glad."), ("b", "Charles slept."), ("c", ""), ("d", None)], "topic string, content string")
+    entities, relations = construct(topics, Rules())
+    got = {(r.topic, r.name): r.description for r in entities.collect()}
+    assert got == {("a", "Ada Byron"): "Ada Byron met Charles.;;;Byron Ada wrote notes.", ("a", "Charles"): "Ada Byron met Charles.;;;Charles was glad.", ("a", "Byron Ada"): "", ("b", "Charles"): "Charles slept."}
+    assert sorted((r.topic, r["head"], r.tail) for r in relations.collect()) == [("a", "Ada Byron", "Byron Ada"), ("a", "Ada Byron", "Charles"), ("a", "Charles", "Ada Byron"), ("a", "Charles", "Byron Ada")]
+    none = construct(topics.limit(0), Rules())
+    assert none[0].count() == none[1].count() == 0
+
+
+def test_attempt():
+    from kgspark.providers import attempt
+
+    calls = []
+
+    def f(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise ValueError
+        return x
+
+    assert attempt(f, 7, wait=0) == 7 and len(calls) == 3
+    assert attempt(lambda: 1 / 0, wait=0, failed=[]) == []
