@@ -67,3 +67,11 @@ def exact_then_fuzzy(names: DataFrame, lexicon: DataFrame, threshold: float = 0.
     best = scored.groupBy("name").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("x")).select("name", "x.ord", "x.score")
     none = left.select("name").join(best.select("name"), "name", "left_anti").select("name", F.lit(None).cast("long").alias("ord"), F.lit(0.0).alias("score"))
     return hit.unionByName(best).unionByName(none)
+
+
+def summary(entities: DataFrame, relations: DataFrame, column: str = "type") -> DataFrame:
+    """metric, value: entities, relations, different types, long-tail cut."""
+    kinds = entities.agg(F.count("*").alias("entities"), F.count_distinct(column).alias("types"))
+    cut = long_tail_cut(type_counts(entities, column)).select(F.col("cut").cast("long").alias("cut"))
+    one = kinds.join(relations.agg(F.count("*").alias("relations")), F.lit(True)).join(cut, F.lit(True))
+    return one.unpivot([], ["entities", "relations", "types", "cut"], "metric", "value")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import percent
@@ -42,3 +45,41 @@ def density(rows: DataFrame, group: str, value: str, points: list[float]) -> Dat
     at = rows.join(size, group).withColumn("x", F.explode(F.array(*map(F.lit, points))))
     total = F.sum(F.exp(-0.5 * ((F.col("x") - v) / F.col("h")) ** 2)) / (F.first("n") * F.first("h") * F.sqrt(2 * F.pi()))
     return at.groupBy(group, "x").agg(F.round(total, 8).alias("density"))
+
+
+def coverage(expected: DataFrame, found: DataFrame, group: str, key: str, score: str) -> DataFrame:
+    """Share of expected keys that were found, and the mean score of those, both rounded to 4 places; found has one row a key."""
+    both = expected.select(group, key).join(found.select(key, score, F.lit(1).alias("_hit")), key, "left")
+    return both.groupBy(group).agg(F.round(F.count("_hit") / F.count("*"), 4).alias("coverage"), F.round(F.avg(score), 4).alias("similarity"))
+
+
+def _common_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, with one bit for each word of a."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    free = full
+    for w in b:
+        hit = free & places.get(w, 0)
+        free = (free + hit | free & ~hit) & full
+    return len(a) - free.bit_count()
+
+
+def rouge_scores(candidate: str | None, reference: str | None) -> tuple[float, float, float]:
+    """F scores of common words, common pairs of neighbours and the longest common subsequence; 0 where a side has none."""
+    a, b = (candidate or "").split(), (reference or "").split()
+    score = lambda hit, n, m: 2.0 * hit / (n + m) if hit else 0.0
+    grams = [[Counter(zip(*[x[i:] for i in range(k)])) for x in (a, b)] for k in (1, 2)]
+    one, two = (score((x & y).total(), x.total(), y.total()) for x, y in grams)
+    return one, two, score(_common_length(a, b), len(a), len(b))
+
+
+def rouge(candidate: str, reference: str) -> Column:
+    """Struct rouge1, rouge2, rougel of two text columns."""
+
+    @F.pandas_udf("rouge1 double, rouge2 double, rougel double")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(map(rouge_scores, a, b)), columns=["rouge1", "rouge2", "rougel"], dtype=float)
+
+    return run(candidate, reference)

@@ -74,3 +74,16 @@ def closure(edges: DataFrame, depth: int = 20) -> DataFrame:
             break
         found = found.unionByName(step)
     return found
+
+
+def from_trace(traces: DataFrame) -> DataFrame:
+    """The last row by ord of those whose chunkid (joined by ;;;) starts with the same chunk, for merge_graph."""
+    key = F.split("chunkid", ";;;")[0]
+    last = F.row_number().over(Window.partitionBy(key).orderBy(F.col("ord").desc()))
+    return traces.withColumn("_place", last).where("_place = 1").drop("_place")
+
+
+def top_category(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """child, top over edges(child, parent) and tops(ancestor): the first top by text among the ancestors; null where there is none."""
+    up = closure(edges).join(tops.select("ancestor"), "ancestor", "left_semi").groupBy("child").agg(F.min("ancestor").alias("top"))
+    return edges.select("child").distinct().join(up, "child", "left")

@@ -350,6 +350,24 @@ def density_curve(t):
     return evaluation.density(t("events"), "event_type", "value", [10.0 * i for i in range(11)])
 
 
+@query("SELECT lang, round(count(l.doc_id) / count(*), 4) AS coverage, round(avg(quality), 4) AS similarity FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY lang")
+def coverage(t):
+    return evaluation.coverage(t("documents"), t("labels"), "lang", "doc_id", "quality")
+
+
+@query("SELECT 'entities' AS metric, count(*) AS value FROM part UNION ALL SELECT 'relations', count(*) FROM lineitem UNION ALL SELECT 'types', count(DISTINCT p_type) FROM part UNION ALL SELECT 'cut', greatest(5, list_sort(list(n))[floor(count(*) * 0.2)::BIGINT + 1]) FROM (SELECT count(*) AS n FROM part WHERE p_type <> '' GROUP BY p_type)")
+def clean_summary(t):
+    return cleaning.summary(t("part").withColumnRenamed("p_type", "type"), t("lineitem"))
+
+
+@query()
+def rouge_turns(t):
+    """Each turn against the one before it in its conversation."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role"))
+    both = t("conversations").withColumn("before", before).where("before is not null")
+    return both.withColumn("r", evaluation.rouge("text", "before")).select("conv_id", "turn", "r.*")
+
+
 @query()
 def construct_entities(t):
     """Names of the graphs built from whole conversations, by the provider of rules."""

@@ -64,3 +64,25 @@ def write_graph_json(entities_: DataFrame, relations_: DataFrame, path: str, by:
     r = relations_.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", F.array(*[fix(c) for c in ("head", "relation", "tail", "description")]).alias("r")))).alias("relations"))
     both = e.join(r, by, "full").select(by, F.transform("entities", lambda x: x.dropFields("ord")).alias("entities"), F.transform("relations", lambda x: x["r"]).alias("relations"))
     both.write.json(path)
+
+
+def json_any(spark: SparkSession, path: str) -> DataFrame:
+    """file, ord, row (variant): the lines of a file if each is JSON, else its whole text as one value or array; what can't be read gives no row."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    parsed = F.transform(lines, F.try_parse_json)
+    whole = F.try_parse_json("value")
+    rows = F.when(F.forall(parsed, lambda x: x.isNotNull()) & (F.size(lines) > 1), parsed).otherwise(F.coalesce(F.try_variant_get(whole, "$", "array<variant>"), F.array(whole)))
+    return files.select("file", F.posexplode(rows).alias("ord", "row")).where("row is not null")
+
+
+def graph_tables(spark: SparkSession, entities_path: str, relations_path: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct titles, and head, tail, relation of Parquet tables of a community graph."""
+    nodes = spark.read.parquet(entities_path).select(F.col("title").alias("name")).distinct()
+    return nodes, spark.read.parquet(relations_path).select(F.col("source").alias("head"), F.col("target").alias("tail"), F.col("description").alias("relation"))
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with a header, each file marked as UTF-8 by a leading byte order mark."""
+    first, *others = rows.columns
+    rows.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *[F.col(f"`{c}`") for c in others]).write.csv(path, header=True, escape='"')

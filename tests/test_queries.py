@@ -92,3 +92,43 @@ def test_attempt():
 
     assert attempt(f, 7, wait=0) == 7 and len(calls) == 3
     assert attempt(lambda: 1 / 0, wait=0, failed=[]) == []
+
+
+def test_rouge():
+    from kgspark.operators.evaluation import rouge_scores
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            out = [0]
+            for j, y in enumerate(b):
+                out.append(row[j] + 1 if x == y else max(out[j], row[j + 1]))
+            row = out
+        return row[-1]
+
+    a, b = "the cat sat on the mat the end".split(), "the the cat on a mat sat the end".split()
+    got = rouge_scores(" ".join(a), " ".join(b))
+    assert got[:2] == (2 * 8 / 17, 2 * 2 / 15)
+    assert got[2] == 2 * plain(a, b) / 17
+    assert rouge_scores(None, "a") == (0, 0, 0) and rouge_scores("a b", "a b") == (1, 1, 1)
+
+
+def test_other_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"x":1}\n{"x":2}\n')
+    (tmp_path / "in/b.json").write_text('[{"x":3},\n{"x":4}]')
+    (tmp_path / "in/c.json").write_text("{broken\nfile")
+    rows = readers.json_any(spark, str(tmp_path / "in"))
+    assert sorted(r.x for r in rows.selectExpr("variant_get(row, '$.x', 'int') AS x").collect()) == [1, 2, 3, 4]
+    readers.write_csv(rows.selectExpr("ord AS `place`", "'é' AS v"), str(tmp_path / "out"))
+    assert all(p.read_bytes().startswith("\ufeffplace,v\n".encode()) for p in (tmp_path / "out").glob("*.csv"))
+
+
+def test_trace_and_categories(spark):
+    from kgspark.operators.graph import from_trace, top_category
+
+    traces = spark.createDataFrame([(1, "c1;;;c2", "x"), (2, "c1", "y"), (3, "c2", "z")], "ord int, chunkid string, name string")
+    assert sorted(r.name for r in from_trace(traces).collect()) == ["y", "z"]
+    edges = spark.createDataFrame([("a", "b"), ("b", "top"), ("top", "b"), ("c", "d")], "child string, parent string")
+    tops = spark.createDataFrame([("top",)], "ancestor string")
+    assert {r.child: r.top for r in top_category(edges, tops).collect()} == {"a": "top", "b": "top", "top": "top", "c": None}
