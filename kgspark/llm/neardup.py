@@ -157,14 +157,14 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame) -> DataFrame:
 
     A bucket of more than BLOCK entries is dealt into blocks, and each two blocks meet by
     themselves: the pairs are compared in numpy arrays, and only those that survive become rows, in
-    the first band in which they agree.
+    the first band whose key they share (the 8 bits of a signature also agree where keys don't).
     """
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     sizes = staged(entries.groupBy("key").agg(F.count("*").alias("m")))
     x = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     x = x.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root")
-    x = x.join(sigs.select("id", "sig"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    x = x.join(sigs.select("id", "sig", "keys"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def pairs_of(t: pa.Table, cuts: np.ndarray):
         own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
@@ -191,13 +191,13 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame) -> DataFrame:
         def found(t: pa.Table, cuts: np.ndarray):
             ids, n, root, band = (t.column(c).to_numpy() for c in ("id", "n", "root", "band"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             for a, b in pairs_of(t, cuts):
                 ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
                 a, b = a[ok], b[ok]
                 keep, _ = _alive(a, b, sig)
                 a, b = a[keep], b[keep]
-                agree = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(2)
-                keep = np.flatnonzero(agree.argmax(1) == band[a])
+                keep = np.flatnonzero((keys[a] == keys[b]).argmax(1) == band[a])
                 x, y = ids[a[keep]], ids[b[keep]]
                 if len(keep):
                     each = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
@@ -253,7 +253,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     several = staged(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
     entries = staged(entries.join(several, "key").select("key", "band", "id", "n", F.col("id").alias("root")))
     labels = staged(entries.select("id", "root").distinct())
-    sigs = staged(reps.select("id", "sig").join(labels.select("id"), "id", "left_semi"))
+    sigs = staged(reps.select("id", "sig", "keys").join(labels.select("id"), "id", "left_semi"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = staged(own.join(labels.select("id"), "id", "left_semi"))
     near = (F.col("a") != F.col("id")) & (F.col("ra") != F.col("root")) & (100 * F.least("na", "n") >= PERCENT * F.greatest("na", "n"))

@@ -124,6 +124,15 @@ def test_near_duplicates(docs, rows):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_pair_whose_signatures_agree_by_chance_in_an_earlier_band(spark):
+    keys = np.arange(2 * neardup.BANDS).reshape(2, -1)
+    keys[:, 3] = 99
+    sig = bytes(neardup.HASHES)  # all bands agree in 8 bits, only band 3 in its key
+    sigs = spark.createDataFrame([(k, sig, keys[k].tolist()) for k in range(2)], "id long, sig binary, keys array<long>")
+    entries = spark.createDataFrame([(99, 3, k, 50, k) for k in range(2)], "key long, band int, id long, n long, root long")
+    assert [tuple(r) for r in neardup.compare_blocks(entries, sigs).collect()] == [(0, 1)]
+
+
 def test_token_counts(docs, rows):
     from tokenizers import Tokenizer, models
 
