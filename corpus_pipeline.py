@@ -11,6 +11,8 @@ from kgspark.llm.common import crc_mod, staged
 
 #: SQL has neither the models nor the tokenizer; the tests hold each stage against a plain version.
 ORACLE_SQL = None
+#: Percent of similarity at which near_duplicates links; op5's own is higher.
+PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 

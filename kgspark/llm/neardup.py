@@ -12,6 +12,7 @@ below the miss probability. Survivors are verified on the full shingle sets.
 from __future__ import annotations
 
 from functools import cache
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,29 @@ from pyspark.sql import functions as F
 from kgspark.llm.common import byte_rows, in_pieces, staged
 from kgspark.operators.components import connected_components
 
-#: Words of a shingle; bands and rows: a pair at similarity 0.85 shares no band with probability 7e-8.
-WORDS, BANDS, ROWS = 5, 28, 5
+#: Words of a shingle, rows of a band, and the probability at most that a pair at the threshold shares no band.
+WORDS, ROWS, APART = 5, 5, 1e-7
 #: Signature positions, how many are compared at a time, and the chance at which a pair of enough similarity may be dropped.
 HASHES, BATCH, MISS = 640, 20, 1e-5
-#: Percent of similarity that links. Below 6 shingles only equal sets reach it.
-PERCENT, LEAST = 85, 6
+#: Percent of similarity that links.
+PERCENT = 85
 #: Rounds with one comparison for each class, and entries of a bucket that meet in one block of the last round.
 TURNS, BLOCK = 3, 256
 
 #: Words whose hashes a worker keeps.
 KNOWN = 250_000
 
+
+def bands(percent: int) -> int:
+    """How many bands a signature has: so many that APART holds at this percent."""
+    return ceil(log(APART) / log1p(-((percent / 100) ** ROWS)))
+
+
+def least(percent: int) -> int:
+    """The least set that reaches this percent with another set that isn't equal: one shingle less than the other."""
+    return -(-percent // (100 - percent))
+
+
 _M = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WORDS)]
 
 
@@ -80,27 +92,27 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    m = mins[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(mins: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    m = mins[: bands(percent) * ROWS].reshape(-1, ROWS).astype(np.uint64)
+    key = np.arange(1, len(m) + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[:, k])
     return key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, fp1, fp2 (name the set), keys (its buckets), sig (8 bits of each minimum). Small sets have no keys."""
 
     def sketch(batches):
-        shingles = Shingles()
+        shingles, smallest = Shingles(), least(percent)
         for batch in batches:
             for b in in_pieces(batch, "text"):
                 rows = []
                 for text in byte_rows(b.column("text")):
                     s = shingles(text)
                     fp1, fp2 = (int(x) for x in np.array([s.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mixed(s), initial=np.uint64(0))]).view(np.int64))
-                    mins = minhash(s) if len(s) >= LEAST else None
-                    rows.append((len(s), fp1, fp2, [] if mins is None else band_keys(mins), b"" if mins is None else ((mins * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()))
+                    mins = minhash(s) if len(s) >= smallest else None
+                    rows.append((len(s), fp1, fp2, [] if mins is None else band_keys(mins, percent), b"" if mins is None else ((mins * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()))
                 n, fp1, fp2, keys, sig = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n", "fp1", "fp2", "keys", "sig"])
 
@@ -126,24 +138,24 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> np.ndarray:
     return np.array(out)
 
 
-def _alive(x: np.ndarray, y: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _alive(x: np.ndarray, y: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the pairs sig[x], sig[y] no batch of the signatures rules out, and their matches."""
     alive, hits = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for k, need in enumerate(least_matches()):
+    for k, need in enumerate(least_matches(percent)):
         part = sig[:, k * BATCH : (k + 1) * BATCH]
         hits[alive] += (part[x[alive]] == part[y[alive]]).sum(1)
         alive = alive[hits[alive] >= need]
     return alive, hits[alive]
 
 
-def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def prune(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that no batch of their signatures rules out, with their matches (hits)."""
 
     def check(batches):
         for b in batches:
             both = np.frombuffer(b"".join(b.column("sa").to_pylist() + b.column("sb").to_pylist()), np.uint8).reshape(2 * b.num_rows, -1)
             at = np.arange(b.num_rows)
-            alive, hits = _alive(at, at + b.num_rows, both)
+            alive, hits = _alive(at, at + b.num_rows, both, percent)
             own = pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).take(pa.array(alive))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hits)], ["a", "b", "hits"])
 
@@ -152,7 +164,7 @@ def prune(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, hits long")
 
 
-def compare_blocks(entries: DataFrame, sigs: DataFrame) -> DataFrame:
+def compare_blocks(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All pairs (a, b) of a bucket, of different components and near sizes, that their signatures don't rule out.
 
     A bucket of more than BLOCK entries is dealt into blocks, and each two blocks meet by
@@ -193,9 +205,9 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             for a, b in pairs_of(t, cuts):
-                ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+                ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                 a, b = a[ok], b[ok]
-                keep, _ = _alive(a, b, sig)
+                keep, _ = _alive(a, b, sig, percent)
                 a, b = a[keep], b[keep]
                 keep = np.flatnonzero((keys[a] == keys[b]).argmax(1) == band[a])
                 x, y = ids[a[keep]], ids[b[keep]]
@@ -242,7 +254,7 @@ def _leaders(entries: DataFrame, turn: int) -> DataFrame:
     return staged(firsts.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.root").alias("ra")))
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (a, b) that join those of the classes reps(id, n, keys, sig) that links connect.
 
     The first TURNS rounds hold each class's signature against the leaders of its buckets and verify
@@ -256,18 +268,18 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     sigs = staged(reps.select("id", "sig", "keys").join(labels.select("id"), "id", "left_semi"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = staged(own.join(labels.select("id"), "id", "left_semi"))
-    near = (F.col("a") != F.col("id")) & (F.col("ra") != F.col("root")) & (100 * F.least("na", "n") >= PERCENT * F.greatest("na", "n"))
+    near = (F.col("a") != F.col("id")) & (F.col("ra") != F.col("root")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
     for turn in range(TURNS + 1):
         if entries.isEmpty():
             break
         if turn < TURNS:
             star = entries.join(_leaders(entries, turn), "key").where(near)
-            likely = prune(star.select("a", F.col("id").alias("b")).distinct(), sigs)
+            likely = prune(star.select("a", F.col("id").alias("b")).distinct(), sigs, percent)
             best = likely.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x"))
             pairs = best.select(F.least("b", "x.a").alias("a"), F.greatest("b", "x.a").alias("b")).distinct()
         else:
-            pairs = compare_blocks(entries, sigs)
-        linked = staged(verify(staged(pairs), texts))
+            pairs = compare_blocks(entries, sigs, percent)
+        linked = staged(verify(staged(pairs), texts, percent))
         edges = linked.join(labels.withColumnsRenamed({"id": "a", "root": "ra"}), "a").join(labels.withColumnsRenamed({"id": "b", "root": "rb"}), "b")
         roots = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("was"), F.col("root").alias("to"))
         labels = staged(labels.join(roots, F.col("root") == F.col("was"), "left").select("id", F.coalesce("to", "root").alias("root")))
@@ -278,21 +290,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return labels.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of doc_id and text.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of doc_id and text, linked at a similarity of percent (1 to 99).
 
     Rows without words or text have n_shingles 0 and are linked with nothing. Rows of equal doc_id
     count as one document for links. A null doc_id is linked with nothing: its component_id is null
     and it is kept. An empty table gives an empty table; other columns are not read. A link between
-    different sets is missed only where no band agrees or a signature misleads (see BANDS, MISS).
+    different sets is missed only where no band agrees or a signature misleads (see APART, MISS).
     """
-    sketch = staged(sketches(docs))
+    sketch = staged(sketches(docs, percent))
     usable = sketch.where("n > 0 and doc_id is not null")
     classes = staged(usable.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("id")))
     member = staged(usable.select("doc_id", "fp1", "fp2", "n").join(classes, ["fp1", "fp2", "n"]).select("doc_id", "id"))
-    reps = usable.where(f"n >= {LEAST}").withColumnRenamed("doc_id", "id").join(classes, ["fp1", "fp2", "n", "id"], "left_semi").select("id", "n", "keys", "sig")
+    reps = usable.where(f"n >= {least(percent)}").withColumnRenamed("doc_id", "id").join(classes, ["fp1", "fp2", "n", "id"], "left_semi").select("id", "n", "keys", "sig")
     again = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    roots = connected_components(links(docs, staged(reps)).unionByName(again))
+    roots = connected_components(links(docs, staged(reps), percent).unionByName(again))
     one = member.groupBy("doc_id").agg(F.min("id").alias("id"))
     place = staged(one.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("component_id")))
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(place, "doc_id", "left")

@@ -125,7 +125,7 @@ def test_near_duplicates(docs, rows):
 
 
 def test_pair_whose_signatures_agree_by_chance_in_an_earlier_band(spark):
-    keys = np.arange(2 * neardup.BANDS).reshape(2, -1)
+    keys = np.arange(2 * neardup.bands(85)).reshape(2, -1)
     keys[:, 3] = 99
     sig = bytes(neardup.HASHES)  # all bands agree in 8 bits, only band 3 in its key
     sigs = spark.createDataFrame([(k, sig, keys[k].tolist()) for k in range(2)], "id long, sig binary, keys array<long>")
@@ -133,6 +133,18 @@ def test_pair_whose_signatures_agree_by_chance_in_an_earlier_band(spark):
     assert [tuple(r) for r in neardup.compare_blocks(entries, sigs).collect()] == [(0, 1)]
 
 
+def test_pipeline_links_at_80_percent(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(100)]
+    near = list(words)
+    near[30], near[60] = "x", "y"  # 86 of 106 shingles: 0.81
+    short = "a b c d e f g h"  # 4 shingles against 5: 0.80
+    docs = table(spark, [(1, " ".join(words), "en", "s"), (2, " ".join(near), "en", "s"), (3, short, "en", "s"), (4, short + " i", "en", "s")])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert (neardup.bands(85), neardup.least(85), neardup.least(80)) == (28, 6, 4) and (1 - 0.8**neardup.ROWS) ** neardup.bands(80) < 1e-7
+
+
 def test_token_counts(docs, rows):
     from tokenizers import Tokenizer, models
 
