@@ -25,8 +25,9 @@ from kgspark.operators.components import connected_components
 
 #: Words of a shingle, rows of a band, and the probability at most that a pair at the threshold shares no band.
 WORDS, ROWS, APART = 5, 5, 1e-7
-#: Signature positions, how many are compared at a time, and the chance at which a pair of enough similarity may be dropped.
-HASHES, BATCH, MISS = 640, 20, 1e-5
+#: Signature positions, how many are compared at a time, and the posterior probability below which a pair is dropped:
+#: over all 32 looks, that drops a pair at the threshold with probability 8e-6 at most.
+HASHES, BATCH, MISS = 640, 20, 4e-7
 #: Percent of similarity that links.
 PERCENT = 85
 #: Rounds with one comparison for each class, and entries of a bucket that meet in one block of the last round.

@@ -133,6 +133,18 @@ def test_pair_whose_signatures_agree_by_chance_in_an_earlier_band(spark):
     assert [tuple(r) for r in neardup.compare_blocks(entries, sigs).collect()] == [(0, 1)]
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_drop_probability_over_all_looks(percent):
+    q, size = percent / 100 + (1 - percent / 100) / 256, neardup.BATCH
+    step = [math.comb(size, k) * q**k * (1 - q) ** (size - k) for k in range(size + 1)]
+    left, lost = np.ones(1), 0.0
+    for need in neardup.least_matches(percent):
+        left = np.convolve(left, step)
+        lost += left[:need].sum()
+        left[:need] = 0
+    assert lost < 1e-5
+
+
 def test_pipeline_links_at_80_percent(spark):
     import corpus_pipeline
 
