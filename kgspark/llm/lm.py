@@ -9,7 +9,7 @@ thousands of blocks at a time.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain, islice
 
 import numpy as np
@@ -24,8 +24,10 @@ from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
 BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
-#: Training texts for the network at most, by a hash of the id; the corpus counts cover every training text.
+#: Training texts at most for the network's start on the driver, by a hash of the id. All counts and the rounds cover every training text.
 TRAIN_ROWS = 1200
+#: Rounds over the chunks, each training on its share of them, and the learning rates of the start and of a round.
+ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
 #: Bytes of text whose words share one dictionary.
 CHUNK = 6 << 20
 #: Distinct words whose ids a worker keeps: fewer than for token files, as blocks and counts need memory too.
@@ -156,64 +158,93 @@ def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int
     return out[target.ravel() >= 0]
 
 
-def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS) -> Network:
-    """Train on texts' subword ids (size: how many ids there are). Without texts the network stays near uniform."""
+def text_scores(net: Network, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of log10 probabilities of each text's ids and its end. n: ids of each text."""
+    lp = log_probabilities(net, np.insert(net.to_own[ids], np.cumsum(n), SIDE * SIDE - 1), n + 1)
+    return np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)) / np.log(10)
+
+
+def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, count: np.ndarray | None = None, ends: int | None = None) -> Network:
+    """Train on texts' subword ids (size: how many ids there are). Without texts the network stays near uniform.
+
+    count and ends, how often each id and the end occur in the whole corpus, choose the vocabulary and set the first biases;
+    without them those of the texts do.
+    """
     rng = np.random.default_rng(SEED)
-    count = np.bincount(ids, minlength=size)
+    count, ends = np.bincount(ids, minlength=size) if count is None else count, len(n) if ends is None else ends
     best = np.argsort(-count, kind="stable")[: SIDE * SIDE - 2]
     to_own = np.zeros(size, np.int32)
     to_own[best] = np.arange(1, len(best) + 1)
     end = SIDE * SIDE - 1
     own = np.insert(to_own[ids], np.cumsum(n), end) if len(n) else np.zeros(0, np.int32)
     init = lambda *shape: rng.normal(0, 0.3 / np.sqrt(shape[0]) if len(shape) > 1 else 0, shape).astype(np.float32)
-    share = np.bincount(own, minlength=SIDE * SIDE).astype(np.float32) + 0.5
+    share = np.bincount(to_own, count, SIDE * SIDE)
+    share[end] += ends
+    share = share.astype(np.float32) + np.float32(0.5)
     p = {"e": rng.normal(0, 0.5, (SIDE * SIDE + 1, WIDTH)).astype(np.float32), "q": init(WIDTH, WIDTH), "k": init(WIDTH, WIDTH), "v": init(WIDTH, WIDTH), "o": init(WIDTH, WIDTH), "place": np.zeros((BLOCK, 2 * BLOCK), np.float32), "w1": init(WIDTH, HIDDEN), "b1": init(HIDDEN), "w2": init(HIDDEN, WIDTH), "c": init(WIDTH, SIDE), "cb": np.log(share.reshape(SIDE, SIDE).sum(1) / share.sum()), "t": rng.normal(0, 0.1, (SIDE * SIDE, WIDTH)).astype(np.float32), "tb": np.log(share / np.repeat(share.reshape(SIDE, SIDE).sum(1), SIDE))}
     net = Network(p, to_own, max(1, size - len(best)))
-    if not len(own):
-        return net
-    x, target, first = _blocks(own, n + 1)
+    if len(own):
+        x, target, first = _blocks(own, n + 1)
+        _train(p, x, first, target, [rng.integers(0, len(x), min(BATCH, len(x))) for _ in range(steps)], RATE)
+    return net
+
+
+def _train(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, target: np.ndarray, picks: list[np.ndarray], top: float) -> None:
+    """One step of Adam on p, in place, for each of picks, the places of its blocks; the rate rises to top and falls."""
     before = np.roll(x, 1, 0)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    for step in range(1, steps + 1):
-        g = _gradients(p, *(y[pick] for pick in [rng.integers(0, len(x), min(BATCH, len(x)))] for y in (x, before, first, target)))
-        rate = 0.01 * min(1, step / 30) * (1 - 0.95 * step / steps)
+    for step, pick in enumerate(picks, 1):
+        g = _gradients(p, x[pick], before[pick], first[pick], target[pick])
+        rate = top * min(1, step / min(30, 1 + len(picks) // 4)) * (1 - 0.95 * step / len(picks))
         for k, v in p.items():
             m1[k] += 0.1 * (g[k] - m1[k])
             m2[k] += 0.01 * (g[k] ** 2 - m2[k])
             v -= (rate / (1 - 0.9**step) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    return net
+
+
+def _summed(places: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Add rows to out at places, which may repeat."""
+    order = np.argsort(places.astype(np.int16), kind="stable")
+    sorted_places = places[order]
+    starts = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
+    out[sorted_places[starts]] += np.add.reduceat(rows[order], starts, 0)
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     s = _hidden(p, x, before, first)
     t = target.ravel()
     used = np.flatnonzero(t >= 0)
+    used = used[np.argsort((t[used] // SIDE).astype(np.int16), kind="stable")]
     h, cls, within = s["out"].reshape(-1, WIDTH)[used], *np.divmod(t[used], SIDE)
-    rows = np.arange(len(used))
+    rows, cuts = np.arange(len(used)), np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
     softmax = lambda z: (z := np.exp(z - z.max(1, keepdims=True))) / z.sum(1, keepdims=True)
     zc = softmax(h @ p["c"] + p["cb"])
-    own = p["t"].reshape(SIDE, SIDE, WIDTH)[cls]
-    zt = softmax(np.einsum("nkd,nd->nk", own, h) + p["tb"].reshape(SIDE, SIDE)[cls])
+    tokens = p["t"].reshape(SIDE, SIDE, WIDTH)
+    spans = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    zt = p["tb"].reshape(SIDE, SIDE)[cls]
+    for c, i, j in spans:
+        zt[i:j] += h[i:j] @ tokens[c].T
+    zt = softmax(zt)
     zc[rows, cls] -= 1
     zt[rows, within] -= 1
     zc /= len(rows)
     zt /= len(rows)
     g = {"c": h.T @ zc, "cb": zc.sum(0)}
-    dh = zc @ p["c"].T + np.einsum("nk,nkd->nd", zt, own)
+    dh = zc @ p["c"].T
     gt, gb = np.zeros((SIDE, SIDE, WIDTH), np.float32), np.zeros((SIDE, SIDE), np.float32)
-    for c in np.unique(cls):
-        of = cls == c
-        gt[c], gb[c] = zt[of].T @ h[of], zt[of].sum(0)
+    for c, i, j in spans:
+        gt[c], gb[c] = zt[i:j].T @ h[i:j], zt[i:j].sum(0)
+        dh[i:j] += zt[i:j] @ tokens[c]
     g |= {"t": gt.reshape(-1, WIDTH), "tb": gb.ravel()}
     out = np.zeros((x.size, WIDTH), np.float32)
     out[used] = dh
     out = out.reshape(*x.shape, WIDTH)
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    df = (out @ p["w2"].T) * (s["f"] > 0)
+    df = _dense(out, p["w2"].T) * (s["f"] > 0)
     g |= {"w2": flat(s["f"]).T @ flat(out), "w1": flat(s["h"]).T @ flat(df), "b1": flat(df).sum(0)}
-    dh = out + df @ p["w1"].T
+    dh = out + _dense(df, p["w1"].T)
     g["o"] = flat(s["c"]).T @ flat(dh)
-    dc = dh @ p["o"].T
+    dc = _dense(dh, p["o"].T)
     dv, da = s["a"].transpose(0, 2, 1) @ dc, dc @ s["v2"].transpose(0, 2, 1)
     ds = s["a"] * (da - (da * s["a"]).sum(2, keepdims=True))
     g["place"] = ds.sum(0)
@@ -222,23 +253,99 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, firs
     g["q"] = flat(s["e"]).T @ flat(dq)
     both = np.concatenate([s["eb"], s["e"]], 1)
     g |= {"k": flat(both).T @ flat(dk), "v": flat(both).T @ flat(dv)}
-    de = dk @ p["k"].T + dv @ p["v"].T
-    own = de[:, BLOCK:] + dh + dq @ p["q"].T
+    de = _dense(dk, p["k"].T) + _dense(dv, p["v"].T)
+    own = de[:, BLOCK:] + dh + _dense(dq, p["q"].T)
     ge = np.zeros_like(p["e"])
-    np.add.at(ge, x.ravel(), flat(own))
-    np.add.at(ge, before.ravel(), flat(de[:, :BLOCK]))
+    _summed(np.concatenate([x.ravel(), before.ravel()]), np.concatenate([flat(own), flat(de[:, :BLOCK])]), ge)
     return g | {"e": ge}
 
 
-def learn(training: DataFrame, tokenizer_path: str, train_rows: int = TRAIN_ROWS) -> Network:
-    """Fit the network on train_rows texts at most, those first by a hash of doc_id."""
+def learn(training: DataFrame, tokenizer_path: str, count: np.ndarray, ends: int, train_rows: int = TRAIN_ROWS) -> Network:
+    """Start the network on train_rows texts at most, those first by a hash of doc_id; count and ends are the whole corpus's."""
     ids = training.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     some = training.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").select("doc_id", "text")
     texts = [r.text.encode().lower() for r in sorted(some.collect())]  # as many rows as the bound allows
     encoder = word_encoder(tokenizer_path, KEEP)
     ids, n = encoder(texts)
-    return fit(ids, n, len(encoder.ends))
+    return fit(ids, n, len(encoder.ends), count=count, ends=ends)
+
+
+def subword_counts(parts: DataFrame, size: int) -> np.ndarray:
+    """How often each subword id occurs in all training texts."""
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for k in range(b.num_rows):
+                each, ids, lengths = b.column("counts")[k].values.to_numpy(), *(np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("ids", "lengths"))
+                total += np.bincount(ids, np.repeat(each, lengths), size).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
+
+    sums = parts.select("counts", "ids", "lengths").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    out = np.zeros(size, np.int64)
+    for r in sums.collect():  # a row for each subword id at most
+        out[r.id] = r.c
+    return out
+
+
+def _texts(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of a chunk's texts in a row, and how many each text has."""
+    at, ids, lengths = (np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("places", "ids", "lengths"))
+    each = lengths[at]
+    ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+    place = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], each)
+    place += np.arange(len(place))
+    n = np.diff(ends[np.concatenate([[0], np.cumsum(b.column("n")[k].values.to_numpy())])])
+    return ids[place], n
+
+
+def refine(parts: DataFrame, net: Network) -> Network:
+    """Train on every training text: in each round the round's chunks go on from the same network, and their networks' mean,
+    weighted by blocks, is the next. So texts and steps grow with the input and nothing but sums of parameters moves.
+    """
+    names, end = sorted(net.p), SIDE * SIDE - 1
+    joined = lambda p: np.concatenate([p[k].ravel() for k in names])
+    for turn in range(ROUNDS):
+        sent = parts.sparkSession.sparkContext.broadcast(net)
+
+        def train(batches, sent=sent):
+            start = sent.value
+            total, weight = np.zeros(sum(v.size for v in start.p.values())), 0
+            for b in batches:
+                for k in range(b.num_rows):
+                    ids, n = _texts(b, k)
+                    own = ~np.array(b.column("held_out")[k].as_py(), bool)
+                    if not own.any():
+                        continue
+                    ids, n = start.to_own[ids[np.repeat(own, n)]], n[own]
+                    x, target, first = _blocks(np.insert(ids, np.cumsum(n), end), n + 1)
+                    order = np.random.default_rng(SEED).permutation(len(x))
+                    p = {c: v.copy() for c, v in start.p.items()}
+                    _train(p, x, first, target, [order[i : i + BATCH] for i in range(0, len(x), BATCH)], ROUND_RATE)
+                    total += len(x) * joined(p).astype(np.float64)
+                    weight += len(x)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["p", "w"])
+
+        def add(batches):
+            total, weight = 0, 0
+            for b in batches:
+                for raw, w in zip(b.column("p").to_pylist(), b.column("w").to_pylist()):
+                    total, weight = total + np.frombuffer(raw), weight + w
+            if weight:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["p", "w"])
+
+        some = parts.where(F.col("turn") == turn).select("held_out", "n", "places", "ids", "lengths")
+        sums = some.mapInArrow(train, "p binary, w long").where("w > 0").repartition(8).mapInArrow(add, "p binary, w long").collect()
+        sent.unpersist()
+        if weight := sum(r.w for r in sums):
+            mean, at, p = sum(np.frombuffer(r.p) for r in sums) / weight, 0, {}
+            for k in names:
+                p[k] = mean[at : at + net.p[k].size].reshape(net.p[k].shape).astype(np.float32)
+                at += net.p[k].size
+            net = replace(net, p=p)
+    return net
 
 
 class _Places(dict):
@@ -249,19 +356,17 @@ class _Places(dict):
         return n
 
 
-def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
-    """One row for each chunk of text: its documents' scores, its distinct words' hashes and training counts, its words by place."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row for each chunk of text: its distinct words' hashes, training counts and subword ids, its words by place, its round (turn)."""
 
     def run(batches):
-        model, encode = sent.value, word_encoder(tokenizer_path, KEEP)
-        end = SIDE * SIDE - 1
-        task = f"{TaskContext.get().partitionId()}-{uuid.uuid4().hex}"
+        encode, part = word_encoder(tokenizer_path, KEEP), TaskContext.get().partitionId()
+        task = f"{part}-{uuid.uuid4().hex}"
         number, size, places, raw, counts, index, rows = 0, 0, _Places(), [], [], [], []
 
         def chunk():
             words = list(places)
-            one = {"chunk": [f"{task}-{number}"], "doc_id": [[r[0] for r in rows]], "held_out": [[r[1] for r in rows]], "n": [[r[2] for r in rows]], "score": [[r[3] for r in rows]], "hashes": [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)], "counts": [np.bincount(np.concatenate(counts or [np.zeros(0, np.int32)]), minlength=len(words)).astype(np.int32)], "places": [b"".join(index)]}
+            one = {"chunk": [f"{task}-{number}"], "doc_id": [[r[0] for r in rows]], "held_out": [[r[1] for r in rows]], "n": [[r[2] for r in rows]], "hashes": [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)], "counts": [np.bincount(np.concatenate(counts or [np.zeros(0, np.int32)]), minlength=len(words)).astype(np.int32)], "places": [b"".join(index)], "ids": [b"".join(raw)], "lengths": [(np.fromiter(map(len, raw), np.int32, len(raw)) // 4).astype("<i4").tobytes()], "turn": [(part + number) % ROUNDS]}
             return pa.RecordBatch.from_pydict(one, _CHUNKS)
 
         for batch in batches:
@@ -272,15 +377,11 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
                 at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int32, int(m.sum()))
                 if len(raw) < len(places):
                     raw += encode.known(list(islice(places, len(raw), None)))
-                ids = np.frombuffer(b"".join(map(raw.__getitem__, at.tolist())), "<i4")
-                n = np.diff(np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))[at] // 4)])[np.concatenate([[0], np.cumsum(m)])])
-                lp = log_probabilities(model, np.insert(model.to_own[ids], np.cumsum(n), end), n + 1) / np.log(10)
-                scores = np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)).tolist()
                 size += sum(map(len, texts)) + 8 * len(texts)
                 held = b.column("held_out").to_pylist()
                 index.append(at.tobytes())
                 counts.append(at[np.repeat(~np.array(held, bool), m)])
-                rows += zip(b.column("doc_id").to_pylist(), held, m.tolist(), scores)
+                rows += zip(b.column("doc_id").to_pylist(), held, m.tolist())
                 if size >= CHUNK:
                     yield chunk()
                     number, size, places, raw, counts, index, rows = number + 1, 0, _Places(), [], [], [], []
@@ -288,10 +389,10 @@ def _scored(docs: DataFrame, net: Network, tokenizer_path: str) -> DataFrame:
             yield chunk()
         encode.forget()  # the worker's memory is for the next stage
 
-    return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, score array<double>, hashes array<long>, counts array<int>, places binary")
+    return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, hashes array<long>, counts array<int>, places binary, ids binary, lengths binary, turn int")
 
 
-_CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary())])
+_CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("turn", pa.int32())])
 
 
 def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -303,23 +404,25 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     back: neither the vocabulary nor the texts come together in one place. A null text is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string"))
-    net = learn(rows.where(~F.col("held_out")), tokenizer_path)
-    parts = staged(_scored(rows, net, tokenizer_path), compression="zstd")
+    parts = staged(_tokenized(rows, tokenizer_path), compression="zstd")
     words = parts.select("chunk", F.explode(F.arrays_zip("hashes", "counts")).alias("w")).select("chunk", F.col("w.hashes").alias("h"), F.col("w.counts").alias("c"))
     known = staged(words.groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"))
     total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = parts.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
     n, v = total.n + ends, total.v + (1 if ends else 0)
+    net = learn(rows.where(~F.col("held_out")), tokenizer_path, subword_counts(parts, len(word_encoder(tokenizer_path, KEEP).ends)), ends)
+    sent = docs.sparkSession.sparkContext.broadcast(refine(parts, net))
     places = parts.select("chunk", F.posexplode("hashes").alias("at", "h"))
     back = places.join(known, "h").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").alias("c"))).alias("counts"))
-    both = parts.select("chunk", "doc_id", "held_out", "n", "score", "places", F.size("hashes").alias("v")).join(back, "chunk", "left")
+    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths", F.size("hashes").alias("v")).join(back, "chunk", "left")
     lowest = np.log10(n + v + 1.0)
 
     def sums(batches):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
             for k in range(b.num_rows):
-                ids, held, own, score, pairs = (b.column(c)[k].values for c in ("doc_id", "held_out", "n", "score", "counts"))
+                ids, held, own, pairs = (b.column(c)[k].values for c in ("doc_id", "held_out", "n", "counts"))
+                score = pa.array(text_scores(sent.value, *_texts(b, k)))
                 count = np.zeros(b.column("v")[k].as_py() + 1, np.int64)
                 count[-1] = ends
                 if pairs is not None:

@@ -198,6 +198,35 @@ def test_language_model(docs, rows):
     assert lm.score_documents(docs.limit(0), WORD).count() == 0
 
 
+def test_network_sees_training_texts_beyond_its_start(spark):
+    ids = spark.range(4000).where(F.crc32(F.col("id").cast("string").cast("binary")) % 7 != 2).orderBy(F.xxhash64("id"), "id")
+    ids = [r.id for r in ids.collect()]
+    held = next(i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    common, rare = "the house and the garden " * 40, "zebra quartz umbrella volcano " * 40
+
+    def score(late):
+        rows = [(i, common if k < lm.TRAIN_ROWS else late, "en", "s") for k, i in enumerate(ids)] + [(held, rare, "en", "s")]
+        return lm.score_documents(table(spark, rows).repartition(4), WORD).where(F.col("doc_id") == held).first().score
+
+    seen, unseen = score(rare), score(common)
+    assert seen > unseen + 3, (seen, unseen)
+
+
+def test_counts_and_texts_of_chunks_are_those_of_the_whole_texts(docs, rows):
+    data = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    parts = lm._tokenized(data, WORD).cache()
+    encoder = token_files.word_encoder(WORD)
+    ids, _ = encoder([(t or "").encode().lower() for _, t, _, _ in rows])
+    assert lm.subword_counts(parts, len(encoder.ends)).tolist() == np.bincount(ids, minlength=len(encoder.ends)).tolist()
+    by_text = Counter(encoder([(t or "").encode().lower()])[0].tobytes() for _, t, _, _ in rows)
+    got = Counter()
+    for b in [parts.toArrow().combine_chunks().to_batches()[0]]:
+        for k in range(b.num_rows):
+            out, n = lm._texts(b, k)
+            got.update(x.tobytes() for x in np.split(out, np.cumsum(n)[:-1]))
+    assert got == by_text
+
+
 def test_attention_is_causal_and_gradients_hold():
     rng = np.random.default_rng(0)
     ids, n = rng.integers(0, 50, 400).astype(np.int32), np.array([150, 250])
