@@ -36,11 +36,15 @@ KEEP = 300_000
 
 @dataclass
 class Network:
-    """Parameters by name; to_own maps subword ids to the network's own, of which 0 is any other id."""
+    """Parameters by name; to_own maps subword ids to the network's own, of which 0 is any other id.
+
+    rest: by subword id, the log of its share of all other ids' probability by their counts, over an even share; 0 for the network's own.
+    """
 
     p: dict[str, np.ndarray]
     to_own: np.ndarray
     others: int
+    rest: np.ndarray | None = None
 
     # own ids: 0 other, 1 .. SIDE * SIDE - 2 subwords, the last one the end; SIDE * SIDE is the start.
 
@@ -161,6 +165,8 @@ def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int
 def text_scores(net: Network, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The sum of log10 probabilities of each text's ids and its end. n: ids of each text."""
     lp = log_probabilities(net, np.insert(net.to_own[ids], np.cumsum(n), SIDE * SIDE - 1), n + 1)
+    if net.rest is not None:
+        lp[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] += net.rest[ids]
     return np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)) / np.log(10)
 
 
@@ -182,7 +188,9 @@ def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, count: np
     share[end] += ends
     share = share.astype(np.float32) + np.float32(0.5)
     p = {"e": rng.normal(0, 0.5, (SIDE * SIDE + 1, WIDTH)).astype(np.float32), "q": init(WIDTH, WIDTH), "k": init(WIDTH, WIDTH), "v": init(WIDTH, WIDTH), "o": init(WIDTH, WIDTH), "place": np.zeros((BLOCK, 2 * BLOCK), np.float32), "w1": init(WIDTH, HIDDEN), "b1": init(HIDDEN), "w2": init(HIDDEN, WIDTH), "c": init(WIDTH, SIDE), "cb": np.log(share.reshape(SIDE, SIDE).sum(1) / share.sum()), "t": rng.normal(0, 0.1, (SIDE * SIDE, WIDTH)).astype(np.float32), "tb": np.log(share / np.repeat(share.reshape(SIDE, SIDE).sum(1), SIDE))}
-    net = Network(p, to_own, max(1, size - len(best)))
+    other = to_own == 0
+    rest = np.where(other, np.log((count + 1) * (max(1, other.sum()) / (count[other].sum() + max(1, other.sum())))), 0)
+    net = Network(p, to_own, max(1, size - len(best)), rest)
     if len(own):
         x, target, first = _blocks(own, n + 1)
         _train(p, x, first, target, [rng.integers(0, len(x), min(BATCH, len(x))) for _ in range(steps)], RATE)

@@ -212,6 +212,15 @@ def test_network_sees_training_texts_beyond_its_start(spark):
     assert seen > unseen + 3, (seen, unseen)
 
 
+def test_rare_subwords_have_shares_by_their_counts():
+    count = np.ones(2000, np.int64)
+    count[: lm.SIDE**2 - 2], count[1700], count[1800] = 5, 3, 0
+    net = lm.fit(np.arange(50), np.array([50]), 2000, 2, count, 1)
+    a, b = (lm.text_scores(net, np.array([i]), np.array([1]))[0] for i in (1700, 1800))
+    assert abs(a - b - math.log10(4)) < 1e-4
+    assert abs(np.exp(net.rest[net.to_own == 0]).sum() / net.others - 1) < 1e-6
+
+
 def test_counts_and_texts_of_chunks_are_those_of_the_whole_texts(docs, rows):
     data = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
     parts = lm._tokenized(data, WORD).cache()
