@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kgspark.staging import staged
+from kgspark.staging import staged, unstaged
 
 
 def _relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -26,12 +26,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")))
-        while True:
-            jumped = staged(_relabel(parents.withColumn("was", F.col("root")), "root", parents))
-            parents = jumped.select("id", "root")
-            if jumped.where("was <> root").isEmpty():
-                break
-        moved = parents if labels is None else _relabel(labels, "root", parents).unionByName(parents.join(labels.select("id"), "id", "left_anti"))
-        labels = staged(moved)
-        edges = staged(_relabel(_relabel(edges, "a", parents), "b", parents).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        moved = 1
+        while moved:
+            seen = Observation()
+            jumped = _relabel(parents.withColumn("was", F.col("root")), "root", parents)
+            old, parents = parents, staged(jumped.observe(seen, F.count_if(F.col("was") != F.col("root")).alias("n")).select("id", "root"))
+            unstaged(old)
+            moved = seen.get["n"]
+        old = labels
+        labels = staged(parents if labels is None else _relabel(labels, "root", parents).unionByName(parents.join(labels.select("id"), "id", "left_anti")))
+        left = staged(_relabel(_relabel(edges, "a", parents), "b", parents).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        unstaged(old, edges, parents)
+        edges = left
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")) if labels is None else labels

@@ -12,7 +12,7 @@ from kgspark.staging import staged
 
 
 def construct(topics: DataFrame, provider, threshold: float = 0.6, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Entities (topic, name, type, description) and relations (topic, ord, at, head, relation, tail, description) of topics(topic, content).
+    """Entities (topic, name, type, description, attributes) and relations (topic, ord, at, head, relation, tail, description) of topics(topic, content).
 
     Rows with a null or empty content give nothing. Each provider stage is written once, so that no call is
     repeated. Mentions of the same name and type in a topic count as one before pairs are compared.
@@ -20,7 +20,8 @@ def construct(topics: DataFrame, provider, threshold: float = 0.6, k: int = 5) -
     embed = providers.embedding(provider)
     chunks = topics.select(F.col("topic").cast("string"), F.posexplode(text.sentences(F.col("content"))).alias("ord", "sentence"))
     chunks = staged(chunks.withColumn("id", F.concat("topic", (F.col("ord") + 1).cast("string"))).withColumn("v", embed("sentence")))
-    found = staged(chunks.select("topic", "ord", F.col("sentence").alias("chunk"), F.posexplode(providers.mentions(provider)("sentence")).alias("at", "m")))
+    last = F.max_by("id", "ord").over(Window.partitionBy("topic", "sentence"))  # a sentence that comes again goes by its last id
+    found = staged(chunks.select("topic", "ord", last.alias("chunk"), F.posexplode(providers.mentions(provider)("sentence")).alias("at", "m")))
     found = found.select("topic", "ord", "at", "chunk", "m.*").where(text.falsy(F.col("name")).isNotNull())
     number = F.row_number().over(Window.partitionBy("topic").orderBy("ord", "at"))
     numbered = found.select("topic", number.alias("ord"), "name", "type", "description", "chunk")
@@ -38,8 +39,11 @@ def construct(topics: DataFrame, provider, threshold: float = 0.6, k: int = 5) -
     top = retrieval.top_within(asked, chunks.withColumnRenamed("ord", "place"), "topic", k)
     best = top.join(chunks.select("id", "topic", "sentence"), "id").join(asked.select(F.col("id").alias("query"), "topic"), ["query", "topic"])
     best = best.groupBy(F.col("query").alias("root")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "sentence"))), lambda x: x["sentence"]).alias("top"))
-    context = F.array_join(F.array_distinct(F.concat("chunks", F.coalesce("top", F.array()))), ", ")
     description = F.array_join("descriptions", ";;;")
-    asked = merged.join(best, "root", "left").select("topic", "first", "name", "type", description.alias("description"), context.alias("context"))
-    parts = staged(asked.withColumn("relationships", providers.subgraph(provider)("context", "name")).withColumnRenamed("first", "ord").drop("context"))
+    texts, _ = graph.chunk_texts(merged.select("root", "topic", F.array_join("chunks", ";;;").alias("chunkid")), chunks.select("topic", F.col("id").alias("chunk_id"), "sentence"), ["root", "topic"])
+    none = F.array().cast("array<string>")
+    context = F.array_join(F.array_distinct(F.concat(F.coalesce("texts", none), F.coalesce("top", none))), ", ")
+    asked = merged.join(texts.drop("topic"), "root", "left").join(best, "root", "left").select("topic", "first", "name", "type", description.alias("description"), context.alias("context"))
+    answers = asked.withColumn("relationships", providers.subgraph(provider)("context", "name")).withColumn("attributes", providers.attributes(provider)("context", "name"))
+    parts = staged(answers.withColumnRenamed("first", "ord").drop("context"))
     return graph.merge_graph(parts, "topic")

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark import providers
-from kgspark.functions import normalize, text, typing_rules
+from kgspark.functions import text
 from kgspark.operators import cleaning, evaluation, graph, retrieval
-from kgspark.plans import construct
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
+from kgspark.plans import cleaning_queries, construct, graph_queries, text_queries  # noqa: F401
+from kgspark.plans.registry import QUERIES, SQL, query
 
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 _SENT = r"""WITH x AS (SELECT doc_id, lang, regexp_replace(regexp_replace(coalesce(text,''), '(^|[^\p{L}\p{N}_])([A-Za-z]\.)', '\1\2'||chr(2), 'g'), '(^|[^\p{L}\p{N}_])([A-Za-z]\.)([^'||chr(2)||'])', '\1\2'||chr(2)||'\3', 'g') AS t FROM documents),
@@ -53,70 +41,6 @@ def mention_numbering(t):
     return t("conversations").select("conv_id", "turn", "role", F.concat(F.lit("entity"), n.cast("string")).alias("entity_id"))
 
 
-@query("""SELECT p_partkey, array_to_string([CASE WHEN regexp_matches(x, '[A-Za-z]') THEN upper(x[1]) || lower(x[2:]) ELSE x END FOR x IN string_split(trim(regexp_replace(regexp_replace(trim(p_name), '[_\\-]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ')], ' ') AS label FROM part""")
-def type_label_norm(t):
-    return t("part").select("p_partkey", text.type_label(F.col("p_name")).alias("label"))
-
-
-def _any(c: str, tokens: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower({c}), '{x.lower()}')" for x in tokens) + ")"
-
-
-def _fine(c: str) -> str:
-    r = typing_rules
-    signs = [f"len(regexp_split_to_array({c}, '\\s+')) >= 4", *[_any(c, x) for x in (r.COLOURS, r.SIDES, r.DEGREES, r.TIMES)], f"regexp_matches({c}, '[,;:/()\\\\]')", _any(c, r.PLACES)]
-    return "(" + " + ".join(f"({s})::INT" for s in signs) + ")"
-
-
-@query(f"SELECT p_partkey, {_fine('p_name')} AS score, {_fine('p_type')} >= 2 AS fine_type FROM part")
-def fine_grained_flags(t):
-    return t("part").select("p_partkey", typing_rules.fine_grained_score(F.col("p_name")).alias("score"), typing_rules.is_fine_grained(F.col("p_type")).alias("fine_type"))
-
-
-PARENTS = [("(?i)brass|copper|steel", "Metal"), ("(?i)tin|nickel", "Alloy"), ("(?i)^promo", "Promotion"), ("(?i)1", "First"), ("(?i)[a-m]$", "Early")]
-SCORED = [("(?i)brass", "Metal", 0.9), ("(?i)steel", "Metal", 0.8), ("(?i)standard", "Plain", 0.9), ("(?i)polished", "Finish", 0.7), ("(?i)large|small", "Size", 0.6)]
-
-
-@query("SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(p_type, '{p}') THEN '{x}'" for p, x in PARENTS) + " ELSE 'Thing' END AS parent FROM part")
-def suggest_parent(t):
-    return t("part").select("p_partkey", typing_rules.first_rule(F.col("p_type"), PARENTS).alias("parent"))
-
-
-@query("SELECT p_partkey, coalesce(m.score, 0)::DOUBLE AS score, coalesce(m.label, 'UNMAPPED') AS label FROM (SELECT p_partkey, list_max(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(p_type || ' ' || p_name, '{p}') THEN {{'score': {s}::DOUBLE, 'place': {-i}, 'label': '{x}'}} END" for i, (p, x, s) in enumerate(SCORED)) + "], lambda x: x IS NOT NULL)) AS m FROM part)")
-def rule_scored_type(t):
-    m = typing_rules.best_rule(F.concat_ws(" ", "p_type", "p_name"), SCORED)
-    return t("part").select("p_partkey", m["score"].alias("score"), m["label"].alias("label"))
-
-
-@query("SELECT n_nationkey, regexp_matches(r_name || ' ' || n_name, '(?i)^(Section|Chapter|Table|Figure)') AS by_pattern, starts_with(concat('Figure ', n_name), 'Figure') AS by_prefix FROM nation JOIN region ON n_regionkey = r_regionkey")
-def non_entity_demotion(t):
-    n = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.select("n_nationkey", F.concat_ws(" ", "r_name", "n_name").rlike(typing_rules.NON_ENTITY_PATTERN).alias("by_pattern"), typing_rules.demote_by_prefix(F.concat(F.lit("Figure "), "n_name")).alias("by_prefix"))
-
-
-@query("SELECT greatest(5, list_sort(list(n))[floor(count(*) * 0.2)::INT + 1]) AS cut FROM (SELECT count(*) AS n FROM part GROUP BY p_type)")
-def long_tail_cut(t):
-    return cleaning.long_tail_cut(cleaning.type_counts(t("part"), "p_type"))
-
-
-@query(f"""WITH k AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type), c AS (SELECT greatest(5, list_sort(list(n))[floor(count(*) * 0.2)::INT + 1]) AS cut FROM k)
-SELECT p_partkey, CASE WHEN n <= cut AND {_fine('p.p_type')} >= 2 THEN 'Thing' ELSE p.p_type END AS new_type, CASE WHEN n <= cut AND {_fine('p.p_type')} >= 2 THEN 'long_tail_fine_grained' END AS reason FROM part p JOIN k USING (p_type), c""")
-def long_tail_demote(t):
-    return cleaning.demote_long_tail(t("part"), F.lit("Thing"), "p_type").select("p_partkey", "new_type", "reason")
-
-
-@query("SELECT event_type AS type, count(*) AS n FROM events WHERE event_type <> '' GROUP BY 1")
-def type_summary(t):
-    return cleaning.type_counts(t("events"), "event_type").orderBy(F.desc("n"), "type")
-
-
-@query("SELECT p_brand, n, array_to_string(v, '; ') AS examples FROM (SELECT p_brand, count(*) AS n, list_sort(list(p_name || '#' || p_partkey ORDER BY p_partkey)[1:0]) AS z, list(p_name ORDER BY p_partkey)[1:35] AS v FROM part GROUP BY p_brand)")
-def type_report(t):
-    p = t("part")
-    names = cleaning.first_n(p, "p_brand", "p_name", "p_partkey", 35)
-    return p.groupBy("p_brand").agg(F.count("*").alias("n")).join(names, "p_brand").select("p_brand", "n", F.array_join("values", "; ").alias("examples"))
-
-
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
@@ -138,15 +62,6 @@ def entity_components(t):
     return v.select("id").join(graph.connected_components(pairs.select("a", "b")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-@query("""WITH m AS (SELECT p_partkey AS id, p_name, p_type, p_brand FROM part), g AS (SELECT min(id) OVER (PARTITION BY p_brand) AS root, * FROM m)
-SELECT root, arg_min(p_name, id) AS name, arg_min(p_type, id) AS type, count(*) AS members, count(DISTINCT p_type) AS n_descriptions FROM g GROUP BY root""")
-def component_merge(t):
-    p = t("part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_type").alias("description"), "p_brand")
-    pairs = p.select(F.col("id").alias("b"), "p_brand").join(p.groupBy("p_brand").agg(F.min("id").alias("a")), "p_brand").where("a < b").select("a", "b")
-    out = graph.merge_components(p.drop("p_brand"), pairs)
-    return out.select("root", "name", "type", "members", F.size("descriptions").cast("long").alias("n_descriptions"))
-
-
 def _top(k: int, order: str) -> str:
     return f"SELECT query, id, rank, similarity FROM (SELECT *, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id {order}))::INT AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label)) WHERE rank <= {k}"
 
@@ -181,87 +96,11 @@ def two_hop_context(t):
     return graph.context(t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("start")), e)
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, 'Customer#' || o_custkey AS head, o_orderpriority AS tail FROM orders), e AS (SELECT 'Customer#' || c_custkey AS name, c_mktsegment AS type, 0 AS step, c_custkey AS ord, 0 AS place FROM customer UNION ALL SELECT tail, 'Priority', 1, o_custkey, o_orderkey FROM r)
-SELECT name, type FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY step, ord, place) AS k FROM e) WHERE k = 1""")
-def kg_merge_first_wins(t):
-    o = t("orders").orderBy("o_orderkey").select("o_custkey", F.struct(F.lit("ordered").alias("relation"), F.col("o_orderpriority").alias("target_name"), F.lit("Priority").alias("target_type"), F.lit("").alias("target_description"), F.lit("").alias("relation_description")).alias("r"))
-    rel = o.groupBy("o_custkey").agg(F.collect_list("r").alias("relationships"))
-    c = t("customer").join(rel, F.col("c_custkey") == F.col("o_custkey"), "left")
-    sub = c.select(F.col("c_custkey").alias("ord"), F.concat(F.lit("Customer#"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("type"), F.lit("").alias("description"), "relationships")
-    return graph.merge_graph(sub)[0].select("name", "type")
-
-
 @query(f"SELECT node, relation, count(*) AS n FROM (SELECT src AS node, relation FROM {_EDGES} UNION ALL SELECT dst, relation FROM {_EDGES}) GROUP BY ALL")
 def relation_incidence(t):
     return graph.incidence(_edges(t)).groupBy("node", "relation").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, concat_ws('；', s_name, '（类型：' || n_name || '）', '关联: ' || array_to_string(parts, ', ')) AS verbalization FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, list(p ORDER BY l_partkey)[1:3] AS parts FROM (SELECT DISTINCT l_suppkey, l_partkey, l_partkey::VARCHAR AS p FROM lineitem) GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
-def verbalize(t):
-    parts = t("lineitem").select("l_suppkey", "l_partkey", F.col("l_partkey").cast("string").alias("p")).distinct()
-    top = cleaning.first_n(parts, "l_suppkey", "p", "l_partkey", 3)
-    s = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(top, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return s.select("s_suppkey", F.concat_ws("；", "s_name", F.concat(F.lit("（类型："), "n_name", F.lit("）")), F.concat(F.lit("关联: "), F.array_join("values", ", "))).alias("verbalization"))
-
-
-@query("SELECT c_custkey, min(n_nationkey) AS ord FROM customer LEFT JOIN nation ON lower(trim(n_name)) = lower(trim(c_mktsegment)) GROUP BY c_custkey")
-def lexicon_left_join(t):
-    lex = t("nation").select(F.lower(F.trim("n_name")).alias("key"), "n_nationkey").groupBy("key").agg(F.min("n_nationkey").alias("ord"))
-    return t("customer").join(lex, F.lower(F.trim("c_mktsegment")) == F.col("key"), "left").select("c_custkey", "ord")
-
-
-@query()
-def lexicon_fuzzy(t):
-    names = t("part").select(F.concat("p_name", F.lit("s")).alias("name"))
-    return cleaning.exact_then_fuzzy(names, t("part").groupBy("p_name").agg(F.min("p_partkey").alias("ord")).withColumnRenamed("p_name", "name"), 0.9)
-
-
-@query("SELECT p_brand, array_to_string(list_sort(list_distinct(list(w))), ';') AS words FROM (SELECT p_brand, unnest(string_split(p_type, ' ')) AS w FROM part) WHERE w <> '' GROUP BY p_brand")
-def multi_value_union(t):
-    w = t("part").select("p_brand", F.explode(F.split("p_type", " ")).alias("w")).where("w <> ''")
-    return w.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("w")), ";").alias("words"))
-
-
-@query("SELECT event_id, coalesce(nullif(json_extract_string(props, '$.type'), ''), json_extract_string(props, '$.k'), '') AS k FROM events")
-def json_props(t):
-    v = F.try_parse_json("props")
-    return t("events").select("event_id", F.coalesce(text.falsy(F.try_variant_get(v, "$.type", "string")), F.try_variant_get(v, "$.k", "string"), F.lit("")).alias("k"))
-
-
-@query("SELECT event_id, 'kind' AS key, event_type AS value FROM events")
-def attr_normalize(t):
-    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.array(F.struct(F.lit(" kind ").alias("key"), F.col("event_type").alias("value"))))).otherwise(F.to_json(F.array(F.concat(F.lit("key: kind, value: "), "event_type"))))
-    return t("events").select("event_id", F.explode(normalize.attributes(raw)).alias("x")).select("event_id", "x.key", "x.value")
-
-
-@query("SELECT event_id, 'did' AS relation, event_type AS target_name FROM events")
-def rel_normalize(t):
-    raw = F.when(F.col("event_id") % 2 == 0, F.to_json(F.array(F.struct(F.lit("did").alias("relation"), F.col("event_type").alias("target_name"))))).otherwise(F.to_json(F.array(F.concat(F.lit("user - did - "), "event_type"))))
-    return t("events").select("event_id", F.explode(normalize.relationships(raw)).alias("x")).select("event_id", "x.relation", "x.target_name")
-
-
-@query("SELECT p_partkey, p_type AS tag FROM part")
-def last_paren_tag(t):
-    return t("part").select("p_partkey", text.last_tag(F.concat("p_name", F.lit(" (x) ( "), "p_type", F.lit(" )"))).alias("tag"))
-
-
-@query("SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS ancestor FROM nation UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 's' || s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
-def ancestor_closure(t):
-    e = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    return graph.closure(e.unionByName(t("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("child"), F.concat(F.lit("n"), "s_nationkey").alias("parent"))))
-
-
-@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang IS NULL OR d.lang = '' OR (l.quality IS NULL AND l.toxic IS NULL)")
-def unmapped_filter(t):
-    d = t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left")
-    return d.where(text.falsy(F.col("lang")).isNull() | (F.col("quality").isNull() & F.col("toxic").isNull())).select("doc_id")
-
-
-@query("SELECT 'labels' AS file, coalesce(100.0 * count(*) FILTER (WHERE quality = 1) / nullif(count(*), 0), 0)::DOUBLE AS pass_rate FROM labels")
-def pass_rate(t):
-    return evaluation.pass_rate(t("labels").select(F.lit("labels").alias("file"), F.col("quality").cast("double").alias("score")), "file")
-
-
 @query("SELECT toxic, printf('%.2f%%', 100.0 * sum(coalesce(quality, 0)) / count(*)) AS accuracy FROM labels GROUP BY toxic")
 def accuracy(t):
     return evaluation.accuracy(t("labels"), "toxic", "quality")
@@ -283,39 +122,11 @@ def unpivot_mean(t):
     return evaluation.unpivot_mean(t("labels").select("doc_id", "quality", "toxic"), ["doc_id"], ["quality", "toxic"])
 
 
-@query("SELECT conv_id, count(*) AS entities, count(DISTINCT role) AS relations, sum(length(text))::BIGINT AS attributes FROM conversations GROUP BY conv_id")
-def kg_counts(t):
-    return t("conversations").groupBy("conv_id").agg(F.count("*").alias("entities"), F.count_distinct("role").alias("relations"), F.sum(F.length("text")).alias("attributes"))
-
-
-@query("SELECT conv_id, turn, role, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING), -1) AS section FROM conversations")
-def section_attach(t):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w)
-    return t("conversations").select("conv_id", "turn", "role", F.coalesce(head, F.lit(-1).cast("long")).alias("section"))
-
-
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value >= 50, ts, event_id) AS place FROM events")
-def reading_order(t):
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value") >= 50, "ts", "event_id"))
-    return t("events").select("event_id", "user_id", place.cast("long").alias("place"))
-
-
-@query("SELECT conv_id, turn, md5(replace(text, '''', '\"')) AS fixed FROM conversations")
-def quote_canonical(t):
-    return t("conversations").select("conv_id", "turn", F.md5(text.canonical_quotes(F.col("text")).cast("binary")).alias("fixed"))
-
-
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def union_distinct(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem")
-def set_difference(t):
-    return t("part").select(F.col("p_partkey").alias("k")).subtract(t("lineitem").select("l_partkey"))
-
-
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def intersect_ids(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").select("s_nationkey"))
@@ -334,12 +145,6 @@ def best_match(t):
     return best.join(v.select(F.col("id").alias("query"), "label"), "query").select("label", F.col("query").alias("std"), "eval")
 
 
-@query("SELECT c_custkey AS a, o_orderstatus AS relation, o_orderkey AS b, c_name AS head FROM orders JOIN customer ON o_custkey = c_custkey")
-def node_edge_pattern(t):
-    edges = t("orders").select(F.col("o_custkey").alias("a"), F.col("o_orderstatus").alias("relation"), F.col("o_orderkey").alias("b"))
-    return edges.join(t("customer").select(F.col("c_custkey").alias("a"), F.col("c_name").alias("head")), "a")
-
-
 @query("SELECT doc_id, i AS place, substr(text, (i * 1100 + 1)::BIGINT, 1200) AS chunk FROM documents, LATERAL (SELECT unnest(range(greatest(1, ceil((length(text) - 100) / 1100.0)::BIGINT))) AS i) WHERE text <> ''")
 def overlap_chunks(t):
     return t("documents").select("doc_id", F.posexplode(text.overlapping(F.col("text"), 1200, 100)).alias("at", "chunk")).select("doc_id", F.col("at").cast("long").alias("place"), "chunk")
@@ -355,11 +160,6 @@ def coverage(t):
     return evaluation.coverage(t("documents"), t("labels"), "lang", "doc_id", "quality")
 
 
-@query("SELECT 'entities' AS metric, count(*) AS value FROM part UNION ALL SELECT 'relations', count(*) FROM lineitem UNION ALL SELECT 'types', count(DISTINCT p_type) FROM part UNION ALL SELECT 'cut', greatest(5, list_sort(list(n))[floor(count(*) * 0.2)::BIGINT + 1]) FROM (SELECT count(*) AS n FROM part WHERE p_type <> '' GROUP BY p_type)")
-def clean_summary(t):
-    return cleaning.summary(t("part").withColumnRenamed("p_type", "type"), t("lineitem"))
-
-
 @query()
 def rouge_turns(t):
     """Each turn against the one before it in its conversation."""
