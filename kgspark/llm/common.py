@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kgspark.staging import shared_dir, staged
+from kgspark.staging import shared_dir, staged, unstaged
 
-__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "in_pieces", "shared_dir", "staged"]
+__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "free_name", "in_pieces", "shared_dir", "staged", "unstaged"]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -23,6 +23,14 @@ def crc_mod_value(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores after it until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_rows(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

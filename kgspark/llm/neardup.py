@@ -6,7 +6,8 @@ bucket still holds more than one component, with all that are left, until no pai
 components is uncompared. So a group of thousands of copies costs a comparison or two for each
 member, and no pair of a bucket is lost. A candidate's signatures are compared batch by batch;
 it is dropped as soon as the posterior probability that its similarity reaches the threshold falls
-below the miss probability. Survivors are verified on the full shingle sets.
+below the miss probability. Survivors are verified on the full sets of 64-bit shingle hashes; in the last round
+within the block in which they meet, so a pair becomes a row only if it is a link.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, in_pieces, staged
+from kgspark.llm.common import byte_rows, in_pieces, staged, unstaged
 from kgspark.operators.components import connected_components
 
 #: Words of a shingle, rows of a band, and the probability at most that a pair at the threshold shares no band.
@@ -30,8 +31,8 @@ WORDS, ROWS, APART = 5, 5, 1e-7
 HASHES, BATCH, MISS = 640, 20, 4e-7
 #: Percent of similarity that links.
 PERCENT = 85
-#: Rounds with one comparison for each class, and entries of a bucket that meet in one block of the last round.
-TURNS, BLOCK = 3, 256
+#: Rounds with one comparison for each class, and entries and bytes of sets of a bucket that meet in one block of the last round.
+TURNS, BLOCK, BLOCK_BYTES = 3, 256, 8 << 20
 
 #: Words whose hashes a worker keeps.
 KNOWN = 250_000
@@ -165,19 +166,37 @@ def prune(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, hits long")
 
 
-def compare_blocks(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All pairs (a, b) of a bucket, of different components and near sizes, that their signatures don't rule out.
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
-    A bucket of more than BLOCK entries is dealt into blocks, and each two blocks meet by
-    themselves: the pairs are compared in numpy arrays, and only those that survive become rows, in
-    the first band whose key they share (the 8 bits of a signature also agree where keys don't).
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """id, hashes: each text's set as sorted little-endian 64-bit hashes."""
+
+    def run(batches):
+        shingles = Shingles()
+        for batch in batches:
+            for b in in_pieces(batch, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t).astype("<u8").tobytes() for t in byte_rows(b.column("text"))], pa.binary())], ["id", "hashes"])
+
+    return texts.mapInArrow(run, "id long, hashes binary")
+
+
+def compare_blocks(entries: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All links (a, b) of a bucket between different components: pairs of near sizes that their signatures don't rule out and their sets confirm.
+
+    A bucket of more than BLOCK entries, or BLOCK_BYTES of sets, is dealt into blocks, and each two blocks meet by
+    themselves: the pairs are compared in numpy arrays, in the first band whose key they share (the 8 bits of a
+    signature also agree where keys don't), and only links become rows.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    sizes = staged(entries.groupBy("key").agg(F.count("*").alias("m")))
+    blocks = F.col("m")
+    bytes_ = F.sum(F.col("n") * 8)
+    sizes = staged(entries.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(bytes_ / BLOCK_BYTES)).cast("int").alias("m")))
     x = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     x = x.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root")
-    x = x.join(sigs.select("id", "sig", "keys"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    x = x.join(sigs.select("id", "sig", "keys"), "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def pairs_of(t: pa.Table, cuts: np.ndarray):
         own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
@@ -203,6 +222,8 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT)
 
         def found(t: pa.Table, cuts: np.ndarray):
             ids, n, root, band = (t.column(c).to_numpy() for c in ("id", "n", "root", "band"))
+            hashes = t.column("hashes").combine_chunks()
+            set_of = lambda k: np.frombuffer(hashes[int(k)].as_buffer(), "<u8")
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             for a, b in pairs_of(t, cuts):
@@ -211,6 +232,7 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT)
                 keep, _ = _alive(a, b, sig, percent)
                 a, b = a[keep], b[keep]
                 keep = np.flatnonzero((keys[a] == keys[b]).argmax(1) == band[a])
+                keep = keep[[_similar(set_of(i), set_of(j), percent) for i, j in zip(a[keep], b[keep])]] if len(keep) else keep
                 x, y = ids[a[keep]], ids[b[keep]]
                 if len(keep):
                     each = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
@@ -240,8 +262,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
                 if ta != last:
                     last, own = ta, shingles(ta)
                 other = shingles(tb)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
+                keep.append(_similar(own, other, percent))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
@@ -265,6 +286,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     entries = reps.where("size(keys) > 0").select("id", "n", F.posexplode("keys").alias("band", "key"))
     several = staged(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
     entries = staged(entries.join(several, "key").select("key", "band", "id", "n", F.col("id").alias("root")))
+    unstaged(several)
     labels = staged(entries.select("id", "root").distinct())
     sigs = staged(reps.select("id", "sig", "keys").join(labels.select("id"), "id", "left_semi"))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -274,20 +296,29 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
         if entries.isEmpty():
             break
         if turn < TURNS:
-            star = entries.join(_leaders(entries, turn), "key").where(near)
+            leaders = _leaders(entries, turn)
+            star = entries.join(leaders, "key").where(near)
             likely = prune(star.select("a", F.col("id").alias("b")).distinct(), sigs, percent)
             best = likely.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("x"))
-            pairs = best.select(F.least("b", "x.a").alias("a"), F.greatest("b", "x.a").alias("b")).distinct()
+            pairs = staged(best.select(F.least("b", "x.a").alias("a"), F.greatest("b", "x.a").alias("b")).distinct())
+            linked = staged(verify(pairs, texts, percent))
+            unstaged(leaders, pairs)
         else:
-            pairs = compare_blocks(entries, sigs, percent)
-        linked = staged(verify(staged(pairs), texts, percent))
+            sets = staged(shingle_sets(texts.join(entries.select("id").distinct(), "id", "left_semi")))
+            linked = staged(compare_blocks(entries, sigs, sets, percent))
+            unstaged(sets)
         edges = linked.join(labels.withColumnsRenamed({"id": "a", "root": "ra"}), "a").join(labels.withColumnsRenamed({"id": "b", "root": "rb"}), "b")
-        roots = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("was"), F.col("root").alias("to"))
-        labels = staged(labels.join(roots, F.col("root") == F.col("was"), "left").select("id", F.coalesce("to", "root").alias("root")))
+        roots = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        moved = roots.select(F.col("id").alias("was"), F.col("root").alias("to"))
+        old, labels = labels, staged(labels.join(moved, F.col("root") == F.col("was"), "left").select("id", F.coalesce("to", "root").alias("root")))
+        unstaged(linked, roots, old)
         if turn < TURNS:
             left = staged(entries.drop("root").join(labels, "id").select("key", "band", "id", "n", "root"))
             mixed = staged(left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+            unstaged(entries)
             entries = staged(left.join(mixed, "key").select("key", "band", "id", "n", "root"))
+            unstaged(left, mixed)
+    unstaged(entries, sigs, texts)
     return labels.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
