@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"(?U)^\s+|\s+$"
-#: Fixed value: where a sentence ends. It defines the operator.
-SENTENCE_END = r"(?U)(?<!\b[A-Za-z]\.)(?<=[.!?。！？])\s+"
+# The signs that end a sentence before white space; they define the operator.
+SENTENCE_END = r"(?U)((?<!\b[A-Za-z])\.|[!?。！？])\s+"
+#: Stands at sentence ends while a text is cut.
+CUT = "\u0001"
 
 
 def falsy(c: Column) -> Column:
@@ -17,9 +19,13 @@ def falsy(c: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of trimmed sentences; a single initial's full stop doesn't end one."""
-    parts = F.split(text, SENTENCE_END)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, SPACE, "")), lambda x: x != "")
+    """Array of trimmed sentences; a single initial's full stop doesn't end one.
+
+    The pattern begins with the sign, so it is tried at signs only. Marks in the text itself are doubled meanwhile.
+    """
+    own = F.replace(F.regexp_replace(text, SPACE, ""), F.lit(CUT), F.lit(CUT * 2))
+    parts = F.split(F.regexp_replace(own, SENTENCE_END, f"$1 {CUT} "), f" {CUT} ")
+    return F.filter(F.transform(parts, lambda x: F.replace(x, F.lit(CUT * 2), F.lit(CUT))), lambda x: x != "")
 
 
 def type_label(c: Column) -> Column:
