@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import crc_mod
+from kgspark.llm.common import crc_mod, free_name
 
 #: Letters a-z have classes 1-26, all other letters share 27-63 by code point; 0 stands between words.
 CLASSES, DIM, SEED = 64, 512, 7
@@ -93,36 +93,36 @@ def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-12)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = ()) -> DataFrame:
-    """Columns keep (as they are), lang_pred and score of each row's whole text.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns keep (as they are), and the language and score, by the names given, of each row's whole text.
 
     score is the cosine, 0 if it is below 0. A null text, a text without a letter and any text
     while no language has been learned get 'und' and 0. Ties go to the language first in order.
     """
     langs, protos = model
-    to = protos.T.astype(np.float32)
+    to, text_ = protos.T.astype(np.float32), free_name("text", [*keep, *names])
 
     def label(batches):
         for b in batches:
-            names, scores = [], []
-            for text in b.column("_text").to_pylist():
+            found, scores = [], []
+            for text in b.column(text_).to_pylist():
                 codes, n = np.unique(trigrams(text or ""), return_counts=True)
                 if not len(codes) or not langs:
-                    names.append("und")
+                    found.append("und")
                     scores.append(0.0)
                     continue
                 v = np.zeros(DIM, np.float32)
                 for k in range(0, len(codes), 4096):
                     v += n[k : k + 4096].astype(np.float32) @ bind(codes[k : k + 4096])
                 cos = v @ to / max(float(np.linalg.norm(v)), 1e-12)
-                names.append(langs[best := int(np.argmax(cos))])
+                found.append(langs[best := int(np.argmax(cos))])
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             own = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text_))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(label, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(label, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

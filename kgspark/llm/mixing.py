@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, staged
+from kgspark.llm.common import byte_rows, free_name, staged
 
 HASH_BITS, LEVEL_BITS = 60, 6
 
@@ -98,9 +98,11 @@ def thresholds(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     return final.select(F.col("source").alias("s"), "source_size", "target", "base", "h_at", "last", "rest")
 
 
-def _copies(h: Column) -> Column:
-    more = F.when(F.col("h_at").isNull(), F.col("rest") > 0).otherwise((h < F.col("h_at")) | ((h == F.col("h_at")) & (F.col("last") < 2 * F.col("rest"))))
-    return F.col("base") + more.cast("long")
+def _copies(h: Column, name: dict[str, str] | None = None) -> Column:
+    """How often a row is taken, from its hash and its source's threshold, whose columns may have other names."""
+    base, h_at, last, rest = (F.col((name or {}).get(c, c)) for c in ("base", "h_at", "last", "rest"))
+    more = F.when(h_at.isNull(), rest > 0).otherwise((h < h_at) | ((h == h_at) & (last < 2 * rest)))
+    return base + more.cast("long")
 
 
 def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -112,14 +114,14 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The documents of the mix: each row as often as it is taken (0, 1 or 2 times), columns unchanged."""
+    """The documents of the mix: each row as often as it is taken (0, 1 or 2 times), columns unchanged, whatever their names."""
     f = thresholds(staged(word_sizes(docs)), weights, share, most)
-    f = f.select(F.col("s").alias("_s"), *[F.col(c).alias(f"_{c}") for c in ("base", "h_at", "last", "rest")])
-    h = mix_hash(F.col("doc_id"))
-    more = F.when(F.col("_h_at").isNull(), F.col("_rest") > 0).otherwise((h < F.col("_h_at")) | ((h == F.col("_h_at")) & (F.col("_last") < 2 * F.col("_rest"))))
-    out = docs.join(f, F.col("source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_copies", F.col("_base") + more.cast("long"))
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    return out.where("_copies > 0").withColumn("_copy", again).select(*docs.columns)
+    name = {c: free_name(c, docs.columns) for c in ("s", "base", "h_at", "last", "rest", "copies", "copy")}
+    f = f.select(*[F.col(c).alias(name[c]) for c in ("s", "base", "h_at", "last", "rest")])
+    out = docs.join(f, F.col("source").cast("string").eqNullSafe(F.col(name["s"])))
+    out = out.withColumn(name["copies"], _copies(mix_hash(F.col("doc_id")), name))
+    again = F.explode(F.sequence(F.lit(1), F.col(name["copies"]).cast("int")))
+    return out.where(F.col(name["copies"]) > 0).withColumn(name["copy"], again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = """
