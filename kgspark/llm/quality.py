@@ -1,76 +1,132 @@
 """Quality classifier: random-indexing word vectors, a two-layer network, calibrated by temperature.
 
 Every token bucket has a sparse random index vector; its context vector adds the index vectors of
-its neighbours in the training texts. A document is the mean of its tokens' index and context
-vectors. A network with one hidden layer, trained in numpy, gives the logit; a temperature fitted
+its neighbours in all documents. A document is the mean of its tokens' index and context
+vectors. A network with one hidden layer, trained in numpy on labelled rows, gives the logit; a temperature fitted
 on texts kept out of training turns it into a probability.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, crc_mod, crc_mod_value
+from kgspark.llm import words
+from kgspark.llm.common import crc_mod, crc_mod_value, free_name, in_pieces
 
 #: Token buckets, dimensions of an index vector, non-zero places in it, hidden units.
 BUCKETS, DIM, PLACES, HIDDEN, SEED = 1 << 15, 48, 6, 32, 11
 #: Labelled rows to fit on at most, taken by a hash of the id: the bound of the training sample.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
+#: Parts in which the context vectors are added up.
+RANGES = 64
 
-_TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x09-\x0d A-Za-z0-9\x80-\xff]+")
+#: Classes of bytes: white space, letters (all of UTF-8 beyond ASCII), digits, other signs.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 1
+_CLASS[48:58] = 2
 
 
-def token_ids(text: bytes) -> np.ndarray:
-    """Buckets of all runs of letters, digits and other signs of the whole text; case counts.
+def token_ids(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all runs of letters, digits and other signs of the rows' whole bytes, and how many each row has; case counts.
 
     A token equal to the one before it is bucket 0, one equal to the last but one is bucket 1: so
     repetition is a word of its own.
     """
-    ids = np.array([zlib.crc32(t) & (BUCKETS - 1) for t in _TOKEN.findall(text)], np.int32)
+    kind = _CLASS[raw]
+    starts = np.ones(len(raw), bool)
+    starts[1:] = kind[1:] != kind[:-1]
+    starts[offsets[:-1][offsets[:-1] < len(raw)]] = True
+    at = np.flatnonzero(starts)
+    ends = np.append(at[1:], len(raw))
+    some = kind[at] > 0
+    s, e = at[some], ends[some]
+    ids = (words.hashes(raw, s, e) & np.uint64(BUCKETS - 1)).astype(np.int32)
+    n = np.diff(np.searchsorted(s, offsets))
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
     out = ids.copy()
-    out[2:][ids[2:] == ids[:-2]] = 1
-    out[1:][ids[1:] == ids[:-1]] = 0
-    return out
+    out[2:][(ids[2:] == ids[:-2]) & (place[2:] >= 2)] = 1
+    out[1:][(ids[1:] == ids[:-1]) & (place[1:] >= 1)] = 0
+    return out, n
 
 
-def index_vectors() -> np.ndarray:
+@cache
+def index_places() -> tuple[np.ndarray, np.ndarray]:
+    """The PLACES dimensions of each bucket's index vector and the sign, 1 or -1, at each."""
     rng = np.random.default_rng(SEED)
+    pairs = [(rng.integers(0, DIM, BUCKETS), rng.choice(np.array([-1, 1]), BUCKETS)) for _ in range(PLACES)]
+    return np.stack([p for p, _ in pairs], 1), np.stack([s for _, s in pairs], 1)
+
+
+def index_vectors() -> np.ndarray:
+    places, signs = index_places()
     out = np.zeros((BUCKETS, DIM), np.float32)
-    for _ in range(PLACES):
-        out[np.arange(BUCKETS), rng.integers(0, DIM, BUCKETS)] += rng.choice(np.array([-1, 1], np.float32), BUCKETS)
+    for k in range(PLACES):
+        out[np.arange(BUCKETS), places[:, k]] += signs[:, k]
+    return out
+
+
+def add_contexts(total: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+    """Add to total (BUCKETS x DIM) the index vectors of all tokens' neighbours; a neighbour before counts rotated by one place."""
+    places, signs = index_places()
+    same = np.ones(len(ids), bool)
+    same[(np.cumsum(n) - n)[n > 0]] = False
+    after = np.flatnonzero(same)
+    left, right = ids[after - 1].astype(np.int64), ids[after].astype(np.int64)
+    flat = total.reshape(-1)
+    for k in range(PLACES):
+        flat += np.bincount(left * DIM + places[right, k], signs[right, k], BUCKETS * DIM)
+        flat += np.bincount(right * DIM + (places[left, k] + 1) % DIM, signs[left, k], BUCKETS * DIM)
+
+
+def context_sums(docs: DataFrame) -> np.ndarray:
+    """Context vectors (BUCKETS x DIM) over all rows of docs(text). Sums of whole numbers, so their order doesn't matter."""
+
+    def add(batches):
+        total = np.zeros((BUCKETS, DIM))
+        for batch in batches:
+            for b in in_pieces(batch, "_text"):
+                add_contexts(total, *token_ids(*words.buffers(b.column("_text"))))
+        parts = [x.astype("<i8").tobytes() for x in np.split(total, RANGES)] if total.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
+
+    def merge(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("part").to_pylist(), b.column("sums").to_pylist()):
+                totals[k] = totals.get(k, 0) + np.frombuffer(x, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "sums"])
+
+    kind = "part int, sums binary"
+    rows = docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(add, kind).repartition(RANGES, "part").mapInArrow(merge, kind)
+    out = np.zeros((BUCKETS, DIM))
+    for r in rows.collect():  # RANGES rows, BUCKETS x DIM numbers
+        out.reshape(RANGES, -1)[r.part] = np.frombuffer(r.sums, "<i8")
     return out
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Index and unit context vectors side by side; a neighbour before counts rotated by one place."""
-    index = index_vectors()
-    pairs = np.concatenate([x[:-1].astype(np.int64) * BUCKETS + x[1:] for x in texts] or [np.zeros(0, np.int64)])
-    codes, n = np.unique(pairs, return_counts=True)
-    context = np.zeros_like(index)
-    before = np.roll(index, 1, 1)
-    for at in range(0, len(codes), 100_000):
-        left, right = np.divmod(codes[at : at + 100_000], BUCKETS)
-        k = np.log1p(n[at : at + 100_000]).astype(np.float32)[:, None]
-        np.add.at(context, left, index[right] * k)
-        np.add.at(context, right, before[left] * k)
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
-    return np.concatenate([index / np.sqrt(np.float32(PLACES)), context], 1)
+def word_vectors(contexts: np.ndarray) -> np.ndarray:
+    """Index and unit context vectors side by side."""
+    unit = contexts / np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-6)
+    return np.concatenate([index_vectors() / np.sqrt(np.float32(PLACES)), unit.astype(np.float32)], 1)
 
 
-def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean of the tokens' vectors; zeros for a text without tokens."""
-    out = np.zeros(vectors.shape[1], np.float32)
-    for at in range(0, len(ids), 8192):
-        out += vectors[ids[at : at + 8192]].sum(0)
-    return out / max(1, len(ids))
+def pooled(ids: np.ndarray, n: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean of each row's tokens' vectors; zeros for a row without tokens."""
+    out = np.zeros((len(n), vectors.shape[1]))
+    row = np.repeat(np.arange(len(n)), n)
+    for at in range(0, len(ids), 16384):
+        own = row[at : at + 16384]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[starts]] += np.add.reduceat(vectors[ids[at : at + 16384]], starts, 0)
+    return (out / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -91,11 +147,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, aside: np.ndarray, epochs: int = 40) -> Model:
-    """aside: rows that only the temperature is fitted on. With no rows every score is 0.5."""
-    ids = [token_ids(t) for t in texts]
-    vectors = word_vectors([x for x, a in zip(ids, aside) if not a])
-    x = np.array([pooled(i, vectors) for i in ids], np.float32).reshape(len(ids), vectors.shape[1])
+def fit(texts: list[bytes], labels: np.ndarray, aside: np.ndarray, contexts: np.ndarray, epochs: int = 40) -> Model:
+    """aside: rows that only the temperature is fitted on; contexts: see context_sums(). With no rows every score is 0.5."""
+    vectors = word_vectors(contexts)
+    each = [pooled(*token_ids(np.frombuffer(t, np.uint8), np.array([0, len(t)])), vectors) for t in texts]
+    x = np.concatenate(each or [np.zeros((0, vectors.shape[1]), np.float32)])
     y, train = labels.astype(np.float32), ~aside
     rng = np.random.default_rng(SEED)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -129,30 +185,33 @@ def fit(texts: list[bytes], labels: np.ndarray, aside: np.ndarray, epochs: int =
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on train_rows labelled rows at most, of those whose crc32(doc_id) mod 5 is not 0."""
+    """Fit on train_rows labelled rows at most, of those whose crc32(doc_id) mod 5 is not 0; word vectors come from all documents.
+
+    Rows of equal doc_id count once, the first by text.
+    """
     ids = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_quality"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = own.join(F.broadcast(ids), "_id").select("_id", "_text", "_quality").collect()  # as many rows as the bound allows
-    rows = sorted(rows)
-    return fit([r._text.encode() for r in rows], np.array([r._quality for r in rows], np.float32), np.array([crc_mod_value(r._id, 25) % 5 == 1 and crc_mod_value(r._id, 7) < 2 for r in rows], bool))
+    some = own.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_quality").alias("_quality"))
+    rows = sorted(some.collect())  # as many rows as the bound allows
+    return fit([r._text.encode() for r in rows], np.array([r._quality for r in rows], np.float32), np.array([crc_mod_value(r._id, 25) % 5 == 1 and crc_mod_value(r._id, 7) < 2 for r in rows], bool), context_sums(docs))
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
-    """Columns keep (as they are) and score of each row's whole text; null counts as empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Model, keep: list[str] = (), score: str = "score") -> DataFrame:
+    """Columns keep (as they are) and the score, by the name given, of each row's whole text; null counts as empty."""
+    sent, text = docs.sparkSession.sparkContext.broadcast(model), free_name("text", [*keep, score])
 
-    def score(batches):
+    def run(batches):
         m = sent.value
-        for b in batches:
-            x = [pooled(token_ids(t), m.vectors) for t in byte_rows(b.column("_text"))]
-            p = m.score(np.array(x, np.float32).reshape(len(x), m.vectors.shape[1]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p.astype(np.float64))], [*keep, "score"])
+        for batch in batches:
+            for b in in_pieces(batch, text):
+                p = m.score(pooled(*token_ids(*words.buffers(b.column(text))), m.vectors))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p.astype(np.float64))], [*keep, score])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(score, ", ".join([*fields, "score double"]))
+    return rows.mapInArrow(run, ", ".join([*fields, f"`{score}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
