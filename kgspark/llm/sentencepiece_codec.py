@@ -1,9 +1,12 @@
 """SentencePiece models run by the tokenizers library.
 
-The model's protobuf is parsed here; pieces, scores, byte fallback and normaliser settings are
+The model's protobuf is parsed here; the normaliser, the metaspace marker, pieces, scores and byte fallback are
 rebuilt as a tokenizers model: unigram models keep their scores, merge models get the merges that
-their scores imply. Every distinct chunk of text that a worker meets is encoded in multithreaded
-batches, held against the sentencepiece library and decoded again, once.
+their scores imply. A text is normalised, its white space collapsed if the model says so, and cut before each
+run of spaces. Every distinct chunk that a worker meets is encoded in multithreaded
+batches, held against the sentencepiece library and decoded again, once; where a model treats a chunk by itself
+unlike the same chunk within a text, whole texts are held against the library instead. Models with features
+that are not rebuilt raise an error.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, in_pieces
+from kgspark.llm.common import byte_rows, free_name, in_pieces
 
 MARK = "▁"
 #: A byte that no UTF-8 text has.
 NO_MARK = b"\xff"
-#: Fixed values of the model format: kinds of pieces and of models.
-UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
+# Fixed values of the model format: kinds of pieces and of models.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 
 
@@ -68,6 +71,24 @@ class Model:
     dummy_prefix: bool = True
     remove_extra: bool = True
     charsmap: bytes = b""
+    escape_spaces: bool = True
+    mark_last: bool = False
+
+    def check(self) -> None:
+        """Raise ValueError for what isn't rebuilt here."""
+        if self.kind not in (UNIGRAM, MERGES):
+            raise ValueError("only unigram and merge models are supported")
+        if any(k in (USER_DEFINED, UNUSED) for k in self.kinds):
+            raise ValueError("user-defined and unused pieces are not supported")
+        if not self.escape_spaces or self.mark_last:
+            raise ValueError("spaces must be marked, before words")
+        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+            raise ValueError("a piece of the model crosses words")
+
+    @property
+    def by_chunk(self) -> bool:
+        """Whether the library can be asked for a chunk by itself: it puts the mark before it and changes nothing else."""
+        return self.dummy_prefix and not self.charsmap
 
 
 @cache
@@ -83,19 +104,20 @@ def parse(path: str) -> Model:
             m.kinds.append(own.get(3, 1))
         elif number == 2:
             own = dict(_fields(value))
-            m.kind, m.byte_fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
+            m.kind, m.byte_fallback, m.mark_last = own.get(3, UNIGRAM), bool(own.get(35, 0)), bool(own.get(24, 0))
         elif number == 3:
             own = dict(_fields(value))
             m.charsmap, m.dummy_prefix, m.remove_extra = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
+            m.escape_spaces = bool(own.get(5, 1))
     return m
 
 
 @cache
 def backend(path: str):
-    """The tokenizers model of the file; it expects text whose spaces are marks."""
+    """The tokenizers model of the file; it expects text that is normalised, and marks its spaces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     os.environ.setdefault("RAYON_NUM_THREADS", "2")
-    from tokenizers import Tokenizer, decoders, models, normalizers
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
 
     m = parse(path)
     unknown = m.kinds.index(UNKNOWN)
@@ -110,29 +132,40 @@ def backend(path: str):
         merges.sort()
         model = models.BPE(vocabulary, [(p[:i], p[i:]) for _, i, p in merges], unk_token=m.pieces[unknown], fuse_unk=True, byte_fallback=m.byte_fallback)
     t = Tokenizer(model)
-    if m.charsmap:
-        t.normalizer = normalizers.Precompiled(m.charsmap)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(MARK, prepend_scheme="never", split=False)
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     return t
 
 
-_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+@cache
+def normaliser(path: str):
+    """Function of a text to its normal form, by the model's character map; None where there is no map."""
+    from tokenizers import normalizers
+
+    m = parse(path)
+    return normalizers.Precompiled(m.charsmap).normalize_str if m.charsmap else None
 
 
-def chunks(text: bytes, model: Model) -> list[bytes]:
-    """The text with spaces as marks, cut before each run of marks; a chunk's first mark is left out.
+_CHUNK = re.compile(" *[^ ]+| +")
 
-    No piece has a mark after another character (codec() makes sure), so no piece crosses a cut. An
-    empty text has no chunks. A chunk that starts without a mark begins with NO_MARK here.
+
+def chunks(text: bytes, model: Model, normal=None) -> list[bytes]:
+    """The normal form of the text, cut before each run of spaces; a chunk's first space is left out.
+
+    No piece has a mark after another character (Model.check() makes sure), so no piece crosses a cut. A
+    text that is empty when normalised has no chunks. A chunk that starts without a space begins with NO_MARK here.
     """
     if not text:
         return []
-    if model.remove_extra or not model.dummy_prefix or b"  " in text or MARK.encode() in text or text[:1] == b" " or text[-1:] == b" ":
-        t = text.decode("utf-8", "replace").replace(" ", MARK)
+    if normal or model.remove_extra or not model.dummy_prefix or b"  " in text or MARK.encode() in text or text[:1] == b" " or text[-1:] == b" ":
+        t = text.decode("utf-8", "replace")
+        t = normal(t) if normal else t
         if model.remove_extra:
-            t = re.sub(f"{MARK}+", MARK, t).strip(MARK)
-        t = (MARK if model.dummy_prefix and t else "") + t
-        return [c[1:].encode() if c[0] == MARK else NO_MARK + c.encode() for c in _CHUNK.findall(t)]
+            t = re.sub(" +", " ", t).lstrip(" ")
+        t = ((" " if model.dummy_prefix and t else "") + t).replace(MARK, " ")
+        if model.remove_extra:  # at the end, marks that the text itself has go too
+            t = t.rstrip(" ")
+        return [c[1:].encode() if c[0] == " " else NO_MARK + c.encode() for c in _CHUNK.findall(t)]
     return text.split(b" ")
 
 
@@ -142,37 +175,49 @@ class Codec:
     def __init__(self, path: str, keep: int = 300_000):
         import sentencepiece
 
-        self.model, self.tokenizer, self.keep = parse(path), backend(path), keep
-        if any(MARK in p.lstrip(MARK) for p in self.model.pieces):
-            raise ValueError("a piece of the model crosses words")
+        self.model, self.tokenizer, self.keep, self.normal = parse(path), backend(path), keep, normaliser(path)
+        self.model.check()
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == BYTE else p.encode() for p, k in zip(self.model.pieces, self.model.kinds)]
+        self.exact = self.model.byte_fallback
         self.known: dict[bytes, bytes] = {}
         self.bad: set[bytes] = set()
 
     def _learn(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 8192):
             some = new[at : at + 8192]
-            texts = [c[1:].decode("utf-8", "replace") if c[:1] == NO_MARK else MARK + c.decode("utf-8", "replace") for c in some]
+            texts = [c[1:].decode("utf-8", "replace") if c[:1] == NO_MARK else " " + c.decode("utf-8", "replace") for c in some]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            plain = [k for k, t in enumerate(texts) if t[:1] == MARK and not self.model.remove_extra and self.model.dummy_prefix]
-            theirs = self.other.encode([texts[k][1:] for k in plain], num_threads=1)
-            wrong = {some[k] for k, x in zip(plain, theirs) if x != ids[k]} if plain else set()
-            if not self.model.charsmap:
-                wrong |= {c for c, i, t in zip(some, ids, texts) if b"".join([self.bytes[k] for k in i]) != t.encode()}
-            self.bad |= wrong - {b""}
+            wrong: set[bytes] = set()
+            if self.model.by_chunk:
+                asked = [k for k, t in enumerate(texts) if t[:1] == " " and t != " "]  # a space alone is no text to the library
+                theirs = self.other.encode([texts[k][1:].replace(" ", MARK) for k in asked], num_threads=1)
+                wrong = {some[k] for k, x in zip(asked, theirs) if x != ids[k]}
+            if self.exact:
+                wrong |= {c for c, i, t in zip(some, ids, texts) if b"".join([self.bytes[k] for k in i]) != t.replace(" ", MARK).encode()}
+            self.bad |= wrong
             self.known.update(zip(some, [np.array(i, "<i4").tobytes() for i in ids]))
 
     def __call__(self, texts: list[bytes]) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text as little-endian int32, and whether all its chunks agree with the sentencepiece library and decode to themselves."""
+        """The ids of each text as little-endian int32, and whether they are the sentencepiece library's and decode to the text.
+
+        Chunks that the library can't be asked for by themselves make their whole text be asked for.
+        """
         if len(self.known) > self.keep:
             self.known.clear()
             self.bad.clear()
-        cut = [chunks(t, self.model) for t in texts]
+        cut = [chunks(t, self.model, self.normal) for t in texts]
         if new := [c for c in set().union(*cut) if c not in self.known]:
             self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut], [not self.bad or self.bad.isdisjoint(c) for c in cut]
+        out = [b"".join(map(get, c)) for c in cut]
+        same = [not self.bad or self.bad.isdisjoint(c) for c in cut]
+        whole = [k for k, c in enumerate(cut) if not self.model.by_chunk or b"" in c]
+        if whole:
+            theirs = self.other.encode([texts[k].decode("utf-8", "replace") for k in whole], num_threads=1)
+            for k, x in zip(whole, theirs):
+                same[k] = same[k] and np.array(x, "<i4").tobytes() == out[k]
+        return out, same
 
 
 @cache
@@ -183,20 +228,21 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     """Columns keep, and pieces (array<int>), n_pieces, ids_crc32, parity for each row's whole text.
 
-    A null or empty text has no ids. parity: every chunk has the ids that the sentencepiece library
-    gives and decodes to its own characters.
+    A null or empty text has no ids. parity: the ids are those that the sentencepiece library gives, and where the
+    model can spell every byte, they decode to the normalised text.
     """
+    text = free_name("text", keep)
 
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for b in in_pieces(batch, "_text"):
-                raw, same = own(byte_rows(b.column("_text")))
+            for b in in_pieces(batch, text):
+                raw, same = own(byte_rows(b.column(text)))
                 n = np.array([len(x) // 4 for x in raw], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(n), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(same)], [*keep, "pieces", "n_pieces", "ids_crc32", "parity"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
     return rows.mapInArrow(run, ", ".join([*fields, "pieces array<int>, n_pieces long, ids_crc32 long, parity boolean"]))
 

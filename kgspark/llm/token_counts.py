@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import byte_rows, in_pieces
-from kgspark.llm.sentencepiece_codec import BYTE, CONTROL, MARK, NO_MARK, UNKNOWN, chunks, parse
+from kgspark.llm.sentencepiece_codec import BYTE, CONTROL, MARK, NO_MARK, UNKNOWN, chunks, normaliser, parse
 
 #: What an unknown character costs beyond the worst piece, a fixed value of unigram models.
 PENALTY = 10.0
@@ -26,7 +26,8 @@ class Counter:
     """Counts of the best segmentation by the sum of piece scores; an unknown character counts its UTF-8 bytes."""
 
     def __init__(self, path: str, keep: int = 300_000):
-        self.model, self.keep = parse(path), keep
+        self.model, self.keep, self.normal = parse(path), keep, normaliser(path)
+        self.model.check()
         self.root: dict = {}
         scores = []
         for piece, score, kind in zip(self.model.pieces, self.model.scores, self.model.kinds):
@@ -74,8 +75,8 @@ class Counter:
         """Pre-tokens and tokens of each text."""
         if len(self.known) > self.keep:
             self.known.clear()
-        cut = [chunks(t, self.model) for t in texts]
-        new = {c: c[1:].decode("utf-8", "replace") if c[:1] == NO_MARK else MARK + c.decode("utf-8", "replace") for c in set().union(*cut) if c not in self.known}
+        cut = [chunks(t, self.model, self.normal) for t in texts]
+        new = {c: c[1:].decode("utf-8", "replace").replace(" ", MARK) if c[:1] == NO_MARK else MARK + c.decode("utf-8", "replace").replace(" ", MARK) for c in set().union(*cut) if c not in self.known}
         order = sorted(new, key=new.__getitem__)
         self.known.update(zip(order, self.count_sorted([new[c] for c in order])))
         get = self.known.__getitem__
