@@ -2,9 +2,9 @@
 
 An image is a PNG of 576 samples a row, one sample for each payload byte (filter 0, deflate), with
 the unpadded length in a text chunk. Archives are ZIP files with stored members and end in their
-directory. The data source lists archive sizes only, plans byte ranges over them, and each task
-reads the members that start within its range, straight at their offsets; a member that fails is
-read again by itself.
+directory. The data source lists archive sizes only and plans byte ranges over them, several to a partition where there are very many; each task
+opens an archive once and reads the members that start within its range, straight at their offsets; a member that fails is
+read again by itself, from a file opened anew.
 """
 
 from __future__ import annotations
@@ -129,9 +129,15 @@ def write_archives(docs: DataFrame, path: str, at_most: int = 16 << 20) -> str:
     return path
 
 
+#: Partitions at most; beyond that a partition holds several ranges.
+PARTITIONS = 100_000
+
+
 class ArchiveRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    """Byte ranges (archive, start, end) that one task reads."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
@@ -143,43 +149,48 @@ class ArchiveReader(DataSourceReader):
         store, folder = _open(self.path)
         with store.open_input_stream(f"{folder}/_manifest.json") as f:
             archives = json.loads(f.read())
-        out = [ArchiveRange(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
-        return out or [ArchiveRange("", 0, 0)]
+        ranges = [(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
+        each = -(-len(ranges) // PARTITIONS)
+        return [ArchiveRange(ranges[k : k + each]) for k in range(0, len(ranges), each)] if ranges else [ArchiveRange([])]
 
-    def read_member(self, store: fs.FileSystem, file: str, info: zipfile.ZipInfo) -> bytes:
-        """The member's bytes at its offset; opened anew for each try."""
+    def read_member(self, store: fs.FileSystem, file: str, f, info: zipfile.ZipInfo) -> bytes:
+        """The member's bytes at its offset, from the open file f first; opened anew for each further try."""
         for again in range(self.tries):
+            own = None
             try:
-                with store.open_input_file(file) as f:
-                    f.seek(info.header_offset)
-                    kind, name, extra = struct.unpack("<4s22xHH", f.read(30))
-                    f.seek(info.header_offset + 30 + name + extra)
-                    data = f.read(info.compress_size)
+                source = f if not again else (own := store.open_input_file(file))
+                source.seek(info.header_offset)
+                kind, name, extra = struct.unpack("<4s22xHH", source.read(30))
+                source.seek(info.header_offset + 30 + name + extra)
+                data = source.read(info.compress_size)
                 if kind != b"PK\3\4" or zlib.crc32(data) != info.CRC:
                     raise ValueError(f"member {info.filename} of {file}")
                 return data
-            except (OSError, ValueError):
+            except (OSError, ValueError, struct.error):
                 if again + 1 == self.tries:
                     raise
                 time.sleep(0.1 * 2**again)
+            finally:
+                if own is not None:
+                    own.close()
         raise AssertionError
 
     def read(self, partition: ArchiveRange):
-        if not partition.archive:
-            return
         store, folder = _open(self.path)
-        file = f"{folder}/{partition.archive}"
-        with store.open_input_file(file) as f:
-            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.end]
+        for archive, start, end in partition.ranges:
+            yield from self.read_range(store, f"{folder}/{archive}", archive, start, end)
+
+    def read_range(self, store: fs.FileSystem, file: str, archive: str, start: int, end: int):
         names, rows, size = ["doc_id", "media", "archive", "offset"], [], 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([partition.archive] * len(rows), pa.string()), pa.array([r[2] for r in rows], pa.int64())], names)
-        for m in members:
-            own = m.filename[:-4].partition("_")[2]
-            rows.append((None if own == "null" else int(own), self.read_member(store, file, m), m.header_offset))
-            size += len(rows[-1][1])
-            if size >= 4 << 20:
-                yield batch()
-                rows, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([archive] * len(rows), pa.string()), pa.array([r[2] for r in rows], pa.int64())], names)
+        with store.open_input_file(file) as f:
+            for m in (m for m in zipfile.ZipFile(f).infolist() if start <= m.header_offset < end):
+                own = m.filename[:-4].partition("_")[2]
+                rows.append((None if own == "null" else int(own), self.read_member(store, file, f, m), m.header_offset))
+                size += len(rows[-1][1])
+                if size >= 4 << 20:
+                    yield batch()
+                    rows, size = [], 0
         if rows:
             yield batch()
 
