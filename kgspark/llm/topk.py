@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.llm.common import shared_dir, staged, unstaged
+
 #: Queries of one pass and rows of one block: 64 components of 4096 queries are 2 MB.
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
 
@@ -68,16 +70,19 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs: vec_id long, v array<long>.
 
     Every query meets every row. Queries come to the driver in blocks of about half of QUERY_BLOCK (all at once up to QUERY_BLOCK), each a pass
-    over the rows, so what is sent to the executors has a fixed size. Shorter vectors count as
+    over the rows, so what is sent to the executors has a fixed size; queries are staged once, and each block's result is added to
+    one table, so neither a scan nor a plan grows with the number of blocks. Shorter vectors count as
     filled up with zeros. Rows without an id are no queries and no candidates; a repeated id counts
     as one query, the first by its vector. Scores beyond long are clipped to it.
     """
     spark = rows.sparkSession
-    q = queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
+    q = staged(queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v")))
     n = q.count()
     blocks = -(-2 * n // QUERY_BLOCK) if n > QUERY_BLOCK else min(n, 1)
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))))
-    found = None
+    best, path = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"), shared_dir(spark)
+    kind = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], kind).write.parquet(path)
     for block in range(blocks):
         own = q.where(F.col("block") == block).select("vec_id", "v").toArrow().combine_chunks()
         v = own.column("v").combine_chunks()
@@ -104,11 +109,11 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([x[0] for x in kept])), pa.array(np.concatenate([x[1] for x in kept]))], ["query_id", "vec_id", "score"])
 
         part = rows.where("vec_id is not null").select("vec_id", "v").mapInArrow(score, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        ranked = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        sent.unpersist()
+    unstaged(q)
+    return spark.read.schema(kind).parquet(path)
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
