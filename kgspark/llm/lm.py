@@ -3,23 +3,23 @@
 The model reads subword ids. A text is cut into blocks of BLOCK positions; a block's queries see the
 block before it and, masked, their own: windows overlap by half and each token is scored once.
 Attention, one hidden layer and a two-level softmax (class, then token within the class) run over
-thousands of blocks at a time.
+thousands of blocks at a time. A word's probability by its subwords is mixed with its share of the corpus, as counted
+over all training texts.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, replace
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, crc_mod, in_pieces, staged
+from kgspark.llm import words
+from kgspark.llm.common import crc_mod, in_pieces, staged
 from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
@@ -28,10 +28,12 @@ BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
 TRAIN_ROWS = 1200
 #: Rounds over the chunks, each training on its share of them, and the learning rates of the start and of a round.
 ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
+#: Share of the corpus's word counts in the score's mixture; the network has the rest.
+SHARE = 0.5
 #: Bytes of text whose words share one dictionary.
 CHUNK = 6 << 20
-#: Distinct words whose ids a worker keeps: fewer than for token files, as blocks and counts need memory too.
-KEEP = 300_000
+#: Distinct words whose ids a worker keeps, and words of chunks that meet in one bucket.
+KEEP, WORDS_MET = 1_000_000, 1_000_000
 
 
 @dataclass
@@ -162,12 +164,31 @@ def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int
     return out[target.ravel() >= 0]
 
 
-def text_scores(net: Network, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The sum of log10 probabilities of each text's ids and its end. n: ids of each text."""
+def id_scores(net: Network, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log probabilities of texts' ids in a row, and of each text's end. n: ids of each text."""
     lp = log_probabilities(net, np.insert(net.to_own[ids], np.cumsum(n), SIDE * SIDE - 1), n + 1)
-    if net.rest is not None:
-        lp[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] += net.rest[ids]
-    return np.add.reduceat(lp, np.cumsum(n + 1) - (n + 1)) / np.log(10)
+    last = np.cumsum(n + 1) - 1
+    own = np.delete(lp, last)
+    return (own if net.rest is None else own + net.rest[ids]), lp[last]
+
+
+def text_scores(net: Network, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of log10 probabilities of each text's ids and its end."""
+    own, ends = id_scores(net, ids, n)
+    total = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(n)])]
+    return (np.diff(total) + ends) / np.log(10)
+
+
+def mixed_scores(words_: np.ndarray, count: np.ndarray, n: int, lowest: float, share: float = SHARE) -> np.ndarray:
+    """Log10 probability of each word or end under the mixture of the network and the corpus's counts.
+
+    words_: the network's natural log probability, nan for a word without subwords, which counts with the lowest base score; count: how
+    often training texts have it, of n words and ends in all.
+    """
+    net = np.where(np.isnan(words_), lowest * np.log(10), words_)
+    with np.errstate(divide="ignore"):
+        known = np.log(count / max(n, 1))
+    return np.logaddexp(np.log(share) + known, np.log1p(-share) + net) / np.log(10)
 
 
 def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, count: np.ndarray | None = None, ends: int | None = None) -> Network:
@@ -275,10 +296,20 @@ def learn(training: DataFrame, tokenizer_path: str, count: np.ndarray, ends: int
     some = training.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").select("doc_id", "text")
     texts = [r.text.encode().lower() for r in sorted(some.collect())]  # as many rows as the bound allows
     encoder = word_encoder(tokenizer_path, KEEP)
-    ids, n = encoder(texts)
+    ids, n = encoder(pa.array(texts, pa.binary()))
     return fit(ids, n, len(encoder.ends), count=count, ends=ends)
 
 
+def training_words(parts: DataFrame) -> int:
+    """How many words all training texts have."""
+
+    def add(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(x, "<i4").sum(dtype=np.int64)) for x in b.column("counts").to_pylist())], pa.int64())], ["n"])
+
+    return parts.select("counts").mapInArrow(add, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def subword_counts(parts: DataFrame, size: int) -> np.ndarray:
     """How often each subword id occurs in all training texts."""
 
@@ -286,7 +317,7 @@ def subword_counts(parts: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for b in batches:
             for k in range(b.num_rows):
-                each, ids, lengths = b.column("counts")[k].values.to_numpy(), *(np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("ids", "lengths"))
+                each, ids, lengths = (np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("counts", "ids", "lengths"))
                 total += np.bincount(ids, np.repeat(each, lengths), size).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
@@ -303,10 +334,8 @@ def _texts(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     at, ids, lengths = (np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("places", "ids", "lengths"))
     each = lengths[at]
     ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-    place = np.repeat((np.cumsum(lengths) - lengths)[at] - ends[:-1], each)
-    place += np.arange(len(place))
     n = np.diff(ends[np.concatenate([[0], np.cumsum(b.column("n")[k].values.to_numpy())])])
-    return ids[place], n
+    return words.take_ragged(ids, (np.cumsum(lengths) - lengths)[at], each), n
 
 
 def refine(parts: DataFrame, net: Network) -> Network:
@@ -356,90 +385,139 @@ def refine(parts: DataFrame, net: Network) -> Network:
     return net
 
 
-class _Places(dict):
-    """Numbers the keys asked for, from 0."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row for each chunk of text: its distinct words' hashes, training counts and subword ids, its words by place, its round (turn)."""
 
     def run(batches):
         encode, part = word_encoder(tokenizer_path, KEEP), TaskContext.get().partitionId()
         task = f"{part}-{uuid.uuid4().hex}"
-        number, size, places, raw, counts, index, rows = 0, 0, _Places(), [], [], [], []
+        number, size, at, rows = 0, 0, [], []
 
         def chunk():
-            words = list(places)
-            one = {"chunk": [f"{task}-{number}"], "doc_id": [[r[0] for r in rows]], "held_out": [[r[1] for r in rows]], "n": [[r[2] for r in rows]], "hashes": [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)], "counts": [np.bincount(np.concatenate(counts or [np.zeros(0, np.int32)]), minlength=len(words)).astype(np.int32)], "places": [b"".join(index)], "ids": [b"".join(raw)], "lengths": [(np.fromiter(map(len, raw), np.int32, len(raw)) // 4).astype("<i4").tobytes()], "turn": [(part + number) % ROUNDS]}
-            return pa.RecordBatch.from_pydict(one, _CHUNKS)
+            every = np.concatenate([x for x, _ in at] or [np.zeros(0, np.int32)])
+            counts = np.bincount(np.concatenate([x[own] for x, own in at] or [np.zeros(0, np.int32)]), minlength=len(encode.words))
+            place = np.zeros(len(encode.words), np.int32)
+            place[every] = 1
+            used = np.flatnonzero(place)
+            place[used] = np.arange(len(used))
+            ids, lengths = encode.word_ids.take(used)
+            raw = {"hashes": (encode.words.keys[used], "<u8"), "counts": (counts[used], "<i4"), "places": (place[every], "<i4"), "ids": (ids, "<i4"), "lengths": (lengths, "<i4")}
+            one = {"chunk": [f"{task}-{number}"], "doc_id": [[r[0] for r in rows]], "held_out": [[r[1] for r in rows]], "n": [[r[2] for r in rows]], "turn": [(part + number) % ROUNDS]}
+            return pa.RecordBatch.from_pydict(one | {c: [x.astype(kind).tobytes()] for c, (x, kind) in raw.items()}, _CHUNKS)
 
         for batch in batches:
             for b in in_pieces(batch, "text", 2_000_000):
-                texts = [t.lower() for t in byte_rows(b.column("text"))]
-                words = [t.split() for t in texts]
-                m = np.array([len(w) for w in words], np.int64)
-                at = np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int32, int(m.sum()))
-                if len(raw) < len(places):
-                    raw += encode.known(list(islice(places, len(raw), None)))
-                size += sum(map(len, texts)) + 8 * len(texts)
+                raw, offsets = words.buffers(b.column("text"))
+                own, m = encode.numbers(words.LOWER[raw], offsets)
+                size += len(raw) + 8 * b.num_rows
                 held = b.column("held_out").to_pylist()
-                index.append(at.tobytes())
-                counts.append(at[np.repeat(~np.array(held, bool), m)])
+                at.append((own, np.repeat(~np.array(held, bool), m)))
                 rows += zip(b.column("doc_id").to_pylist(), held, m.tolist())
                 if size >= CHUNK:
                     yield chunk()
-                    number, size, places, raw, counts, index, rows = number + 1, 0, _Places(), [], [], [], []
+                    number, size, at, rows = number + 1, 0, [], []
+                    encode.room()
         if rows:
             yield chunk()
         encode.forget()  # the worker's memory is for the next stage
 
-    return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, hashes array<long>, counts array<int>, places binary, ids binary, lengths binary, turn int")
+    return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, turn int, hashes binary, counts binary, places binary, ids binary, lengths binary")
+
+
+_CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("turn", pa.int32()), *[(c, pa.binary()) for c in ("hashes", "counts", "places", "ids", "lengths")]])
+
+
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a chunk's words bucket by bucket, and where each bucket's begin, with the end."""
+    bucket = (hashes >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
 
+def corpus_counts(parts: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket, totals, distinct: the counts in all chunks of each chunk's words, in the order of _dealt().
+
+    The words of all chunks meet by buckets of their hashes, in arrays; distinct is, once for each bucket, how many of its words occur
+    in training texts. Which words there are is never in one place.
+    """
+
+    def deal(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                hashes, counts = np.frombuffer(b.column("hashes")[k].as_py(), "<u8"), np.frombuffer(b.column("counts")[k].as_py(), "<i4")
+                order, cuts = _dealt(hashes, buckets)
+                some = np.flatnonzero(np.diff(cuts))
+                pieces = [order[cuts[i] : cuts[i + 1]] for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk")[k].as_py()] * len(some)), pa.array(some, pa.int32()), pa.array([hashes[p].tobytes() for p in pieces], pa.binary()), pa.array([counts[p].tobytes() for p in pieces], pa.binary())], ["chunk", "bucket", "h", "c"])
+
+    def add(batches):
+        held: list[tuple] = []
+
+        def totals():
+            n = [len(h) // 8 for _, _, h, _ in held]
+            hashes, counts = np.frombuffer(b"".join(x[2] for x in held), "<u8"), np.frombuffer(b"".join(x[3] for x in held), "<i4")
+            own, which = np.unique(hashes, return_inverse=True)
+            each = np.bincount(which.ravel(), counts, len(own)).astype(np.int64)
+            out = np.split(each[which.ravel()], np.cumsum(n)[:-1])
+            distinct = [int((each > 0).sum()), *[0] * (len(held) - 1)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held]), pa.array([x[1] for x in held], pa.int32()), pa.array([x.tobytes() for x in out], pa.binary()), pa.array(distinct, pa.int64())], ["chunk", "bucket", "totals", "distinct"])
+
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if held and held[-1][1] != row[1]:
+                    yield totals()
+                    held = []
+                held.append(row)
+        if held:
+            yield totals()
 
-_CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("places", pa.binary()), ("ids", pa.binary()), ("lengths", pa.binary()), ("turn", pa.int32())])
+    dealt = parts.select("chunk", "hashes", "counts").mapInArrow(deal, "chunk string, bucket int, h binary, c binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "chunk string, bucket int, totals binary, distinct long")
 
 
 def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row's whole text.
 
-    score is the sum of the network's log10 probabilities of the subword ids and the end. base_score is the sum of
+    score is the sum of the log10 probabilities of the words and the end, each a mixture (SHARE) of the network's, the product
+    of its subwords' given all before them in its window, and the word's share of all training tokens. base_score is the sum of
     log10((c + 1) / (N + V + 1)) of words and the end over the counts of all training texts. Words are counted within chunks of text, the
     chunks' counts are added by the words' hashes, and each chunk gets the counts of its own words
-    back: neither the vocabulary nor the texts come together in one place. A null text is empty.
+    back: neither the vocabulary nor the texts come together in one place. A null text is empty. Words are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string"))
     parts = staged(_tokenized(rows, tokenizer_path), compression="zstd")
-    words = parts.select("chunk", F.explode(F.arrays_zip("hashes", "counts")).alias("w")).select("chunk", F.col("w.hashes").alias("h"), F.col("w.counts").alias("c"))
-    known = staged(words.groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"))
-    total = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = parts.agg(F.sum(F.size(F.filter("held_out", lambda x: ~x)))).first()[0] or 0
-    n, v = total.n + ends, total.v + (1 if ends else 0)
-    net = learn(rows.where(~F.col("held_out")), tokenizer_path, subword_counts(parts, len(word_encoder(tokenizer_path, KEEP).ends)), ends)
+    size = parts.agg(F.sum(F.length("hashes") / 8).alias("words"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("ends")).first()
+    ends, buckets = size.ends or 0, max(16, int((size.words or 0) // WORDS_MET) + 1)
+    counted = staged(corpus_counts(parts, buckets))
+    count = subword_counts(parts, len(word_encoder(tokenizer_path, KEEP).ends))
+    n, v = training_words(parts) + ends, (counted.agg(F.sum("distinct")).first()[0] or 0) + (1 if ends else 0)
+    net = learn(rows.where(~F.col("held_out")), tokenizer_path, count, ends)
     sent = docs.sparkSession.sparkContext.broadcast(refine(parts, net))
-    places = parts.select("chunk", F.posexplode("hashes").alias("at", "h"))
-    back = places.join(known, "h").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").alias("c"))).alias("counts"))
-    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths", F.size("hashes").alias("v")).join(back, "chunk", "left")
+    back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals"))
+    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths", "hashes").join(back, "chunk", "left")
     lowest = np.log10(n + v + 1.0)
 
     def sums(batches):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for b in batches:
             for k in range(b.num_rows):
-                ids, held, own, pairs = (b.column(c)[k].values for c in ("doc_id", "held_out", "n", "counts"))
-                score = pa.array(text_scores(sent.value, *_texts(b, k)))
-                count = np.zeros(b.column("v")[k].as_py() + 1, np.int64)
+                ids, held, own = (b.column(c)[k].values for c in ("doc_id", "held_out", "n"))
+                order, _ = _dealt(np.frombuffer(b.column("hashes")[k].as_py(), "<u8"), buckets)
+                count = np.zeros(len(order) + 1, np.int64)
                 count[-1] = ends
-                if pairs is not None:
-                    count[pairs.field("at").to_numpy()] = pairs.field("c").to_numpy()
-                m = own.to_numpy()
-                at = np.insert(np.frombuffer(b.column("places")[k].as_py(), np.int32), np.cumsum(m), len(count) - 1)
+                if len(order):
+                    pieces = sorted((x["bucket"], x["totals"]) for x in b.column("totals")[k].as_py())
+                    count[order] = np.frombuffer(b"".join(x for _, x in pieces), "<i8")
+                m, place = own.to_numpy(), np.frombuffer(b.column("places")[k].as_py(), "<i4")
+                at = np.insert(place, np.cumsum(m), len(count) - 1)
                 last = np.cumsum(m + 1)
                 per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], last])])
                 base = per_text(np.log10(count + 1.0)[at] - lowest)
+                each = np.frombuffer(b.column("lengths")[k].as_py(), "<i4")[place]
+                by_id, by_end = id_scores(sent.value, *_texts(b, k))
+                net = np.diff(np.concatenate([[0], np.cumsum(by_id)])[np.concatenate([[0], np.cumsum(each, dtype=np.int64)])])
+                net[each == 0] = np.nan
+                score = pa.array(per_text(mixed_scores(np.insert(net, np.cumsum(m), by_end), count[at], n, -lowest)))
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(m + 1), pa.array(per_text(count[at] > 0), pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
 
     return both.mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
