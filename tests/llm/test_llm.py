@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def test_mix(docs, rows):
     taken = Counter()
     for r in got:
         taken[r.doc_id, r.source] += r.copies
-    assert taken == +Counter((r.doc_id, r.source) for r in mixing.mixed_documents(docs).collect()) + Counter() or all(v >= 0 for v in taken.values())
+    assert +taken == Counter((r.doc_id, r.source) for r in mixing.mixed_documents(docs).collect())
     assert mixing.mix(mixing.word_sizes(docs.limit(0))).count() == 0
 
 
@@ -130,7 +131,8 @@ def test_pair_whose_signatures_agree_by_chance_in_an_earlier_band(spark):
     sig = bytes(neardup.HASHES)  # all bands agree in 8 bits, only band 3 in its key
     sigs = spark.createDataFrame([(k, sig, keys[k].tolist()) for k in range(2)], "id long, sig binary, keys array<long>")
     entries = spark.createDataFrame([(99, 3, k, 50, k) for k in range(2)], "key long, band int, id long, n long, root long")
-    assert [tuple(r) for r in neardup.compare_blocks(entries, sigs).collect()] == [(0, 1)]
+    sets = spark.createDataFrame([(k, np.arange(20, dtype="<u8").tobytes()) for k in range(2)], "id long, hashes binary")
+    assert [tuple(r) for r in neardup.compare_blocks(entries, sigs, sets).collect()] == [(0, 1)]
 
 
 @pytest.mark.parametrize("percent", [80, 85])
@@ -179,6 +181,45 @@ def test_media(spark, docs, rows, tmp_path):
     assert media.media_features(docs.limit(0)).count() == 0
 
 
+def test_members_are_read_again_by_themselves(docs, tmp_path):
+    import io
+
+    path = media.write_archives(docs.coalesce(1), f"file://{tmp_path}/a")
+    reader = media.ArchiveReader({"path": path, "rangeBytes": 20_000, "tries": 3})
+    store, folder = media._open(path)
+    parts = reader.partitions()
+    whole = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["offset"]) for part in parts for b in reader.read(part) for r in b.to_pylist())
+    assert len(whole) == docs.count() and len(parts) > 1
+
+    class Store:
+        """Gives a broken file first, then real ones, and counts how often files are opened."""
+
+        def __init__(self, broken):
+            self.opened, self.broken = 0, broken
+
+        def open_input_file(self, name):
+            self.opened += 1
+            raw = store.open_input_file(name).read()
+            if self.opened == 1 or self.opened <= self.broken:
+                raw = raw[:200] + bytes(50) + raw[250:]
+            return io.BytesIO(raw)
+
+    archive, start, end = parts[0].ranges[0]
+    with store.open_input_file(f"{folder}/{archive}") as f:
+        import zipfile
+
+        members = zipfile.ZipFile(f).infolist()
+    flaky = Store(1)
+    first = flaky.open_input_file(f"{folder}/{archive}")
+    got = [reader.read_member(flaky, f"{folder}/{archive}", first, m) for m in members[:5]]
+    assert 1 < flaky.opened <= 3  # only what the broken bytes hit is read again
+    assert [media.decode_png(x) for x in got]
+    with pytest.raises(ValueError):
+        bad = Store(99)
+        for m in members[:5]:
+            reader.read_member(bad, f"{folder}/{archive}", bad.open_input_file(f"{folder}/{archive}"), m)
+
+
 def test_quality(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i >= 1000), 0) for i, _, _, _ in rows if i is not None and i < 2500], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
@@ -225,9 +266,10 @@ def test_counts_and_texts_of_chunks_are_those_of_the_whole_texts(docs, rows):
     data = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
     parts = lm._tokenized(data, WORD).cache()
     encoder = token_files.word_encoder(WORD)
-    ids, _ = encoder([(t or "").encode().lower() for _, t, _, _ in rows])
+    lowered = lambda ts: pa.array([(t or "").encode().lower() for t in ts], pa.binary())
+    ids, _ = encoder(lowered([t for _, t, _, _ in rows]))
     assert lm.subword_counts(parts, len(encoder.ends)).tolist() == np.bincount(ids, minlength=len(encoder.ends)).tolist()
-    by_text = Counter(encoder([(t or "").encode().lower()])[0].tobytes() for _, t, _, _ in rows)
+    by_text = Counter(encoder(lowered([t]))[0].tobytes() for _, t, _, _ in rows)
     got = Counter()
     for b in [parts.toArrow().combine_chunks().to_batches()[0]]:
         for k in range(b.num_rows):
@@ -246,17 +288,50 @@ def test_attention_is_causal_and_gradients_hold():
     changed[100] = 5
     assert np.allclose(lm.log_probabilities(net, changed, n + 1)[:100], lp[:100], atol=1e-4)
     x, t, first = lm._blocks(own, n + 1)
-    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    p = {k: v.astype(np.float64) * (1 if k in ("cb", "tb") else 3) for k, v in net.p.items()}  # so that every part matters
     g = lm._gradients(p, x, np.roll(x, 1, 0), first, t)
     loss = lambda: -lm.log_probabilities(lm.Network(p, net.to_own, 1), own, n + 1).mean()
     for k in p:
-        at = tuple(int(y) // 2 for y in p[k].shape)
-        p[k][at] += 1e-4
-        up = loss()
-        p[k][at] -= 2e-4
-        down = loss()
-        p[k][at] += 1e-4
-        assert abs((up - down) / 2e-4 - g[k][at]) < 2e-2, k
+        largest = np.argsort(-np.abs(g[k]).ravel())[:3]
+        assert np.abs(g[k]).max() > 1e-3, k
+        for at in zip(*np.unravel_index(largest, g[k].shape)):
+            was = p[k][at]
+            step = 1e-3 * max(1, abs(was))
+            p[k][at] = was + step
+            up = loss()
+            p[k][at] = was - step
+            down = loss()
+            p[k][at] = was
+            assert abs((up - down) / (2 * step) - g[k][at]) < 0.03 * abs(g[k][at]) + 2e-5, (k, at)
+
+
+def test_scores_are_those_of_the_network_written_plainly():
+    """Every token once, from the softmax over classes and tokens, with the attention written token by token."""
+    rng = np.random.default_rng(6)
+    ids, n = rng.integers(0, 2500, 300).astype(np.int32), np.array([1, 0, 40, 259])
+    count = rng.integers(0, 50, 2500)
+    net = lm.fit(ids, n, 2500, 5, count, 9)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    logsoft = lambda z: z - np.log(np.exp(z - z.max()).sum()) - z.max()
+    want = []
+    for text in np.split(ids, np.cumsum(n)[:-1]):
+        target = [*net.to_own[text], lm.SIDE**2 - 1]
+        x = [lm.SIDE**2, *target[:-1]]
+        total = 0.0
+        for i, t in enumerate(target):
+            lo = max(0, (i // lm.BLOCK - 1) * lm.BLOCK)
+            e, q = p["e"][x[i]], p["e"][x[i]] @ p["q"]
+            s = np.array([q @ (p["e"][x[j]] @ p["k"]) / np.sqrt(lm.WIDTH) + p["place"][i % lm.BLOCK, j - (i // lm.BLOCK - 1) * lm.BLOCK] for j in range(lo, i + 1)])
+            a = np.exp(s) / np.exp(s).sum()
+            h = e + sum(w * (p["e"][x[j]] @ p["v"]) for w, j in zip(a, range(lo, i + 1))) @ p["o"]
+            h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+            c, k = divmod(int(t), lm.SIDE)
+            lp = logsoft(h @ p["c"] + p["cb"])[c] + logsoft(p["t"].reshape(lm.SIDE, lm.SIDE, -1)[c] @ h + p["tb"].reshape(lm.SIDE, -1)[c])[k]
+            total += lp
+            if t == 0:
+                total += np.log((count[text[i]] + 1) / (count[net.to_own == 0] + 1).sum())
+        want.append(total / np.log(10))
+    assert np.allclose(lm.text_scores(net, ids, n), want, rtol=2e-4, atol=2e-3)
 
 
 def test_top_k(spark):
@@ -267,10 +342,23 @@ def test_top_k(spark):
     want = [(q, k + 1, i, -s) for q in v if q % 100 == 0 for k, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in v if i != q)[:10])]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    block, topk.QUERY_BLOCK = topk.QUERY_BLOCK, 2  # several passes
+    try:
+        again = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    finally:
+        topk.QUERY_BLOCK = block
+    assert sorted(map(tuple, again)) == sorted(want)
 
 
 def test_pipeline(spark):
+    """The whole pipeline: its rows are those of its stages in turn, and nothing else."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns[:2] == ["doc_id", "source"] and 0 < out.count() and out.where("not parity").count() == 0
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder).cache()
+    want = Counter((r.doc_id, r.source, r.n_pieces, r.ids_crc32, r.parity) for r in docs.collect())
+    out = corpus_pipeline.run(spark, folder)
+    assert out.columns[:2] == ["doc_id", "source"]
+    assert Counter((r.doc_id, r.source, r.n_pieces, r.ids_crc32, r.parity) for r in out.collect()) == want and all(k[4] for k in want)
