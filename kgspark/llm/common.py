@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kgspark.staging import shared_dir, staged, unstaged
 
-__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "free_name", "in_pieces", "shared_dir", "staged", "unstaged"]
+__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "free_name", "in_pieces", "release", "shared_dir", "staged", "unstaged"]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -23,6 +24,15 @@ def crc_mod_value(doc_id: int | None, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers live on for later tasks, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """The name, with underscores after it until no column has it in any case."""
     taken = {c.lower() for c in columns}

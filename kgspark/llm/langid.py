@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import crc_mod, free_name
+from kgspark.llm.common import crc_mod, free_name, release
 
 #: Letters a-z have classes 1-26, all other letters share 27-63 by code point; 0 stands between words.
 CLASSES, DIM, SEED = 64, 512, 7
@@ -65,6 +65,7 @@ def trigram_counts(training: DataFrame) -> DataFrame:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if len(codes := trigrams(text)):
                     np.add.at(sums.setdefault(lang, np.zeros(CLASSES**3, np.int64)), *np.unique(codes, return_counts=True))
+        release()
         for lang, n in sums.items():
             codes = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(n[codes])], ["lang", "code", "n"])
@@ -119,6 +120,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
                 scores.append(min(1.0, max(0.0, float(cos[best]))))
             own = [b.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
+        release()
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text_))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import words
-from kgspark.llm.common import crc_mod, in_pieces, staged
+from kgspark.llm.common import crc_mod, in_pieces, release, staged
 from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
@@ -420,6 +420,7 @@ def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         if rows:
             yield chunk()
         encode.forget()  # the worker's memory is for the next stage
+        release()
 
     return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, turn int, hashes binary, counts binary, places binary, ids binary, lengths binary")
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, in_pieces, staged, unstaged
+from kgspark.llm.common import byte_rows, in_pieces, release, staged, unstaged
 from kgspark.operators.components import connected_components
 
 #: Words of a shingle, rows of a band, and the probability at most that a pair at the threshold shares no band.
@@ -117,6 +117,8 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     rows.append((len(s), fp1, fp2, [] if mins is None else band_keys(mins, percent), b"" if mins is None else ((mins * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()))
                 n, fp1, fp2, keys, sig = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n", "fp1", "fp2", "keys", "sig"])
+        shingles.known.clear()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, keys array<long>, sig binary")

@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import words
-from kgspark.llm.common import crc_mod, crc_mod_value, free_name, in_pieces
+from kgspark.llm.common import crc_mod, crc_mod_value, free_name, in_pieces, release
 
 #: Token buckets, dimensions of an index vector, non-zero places in it, hidden units.
 BUCKETS, DIM, PLACES, HIDDEN, SEED = 1 << 15, 48, 6, 32, 11
 #: Labelled rows to fit on at most, taken by a hash of the id: the bound of the training sample.
 TRAIN_ROWS = 6000
 THRESHOLD = 0.3
-#: Parts in which the context vectors are added up.
-RANGES = 64
+#: Parts in which the context vectors are added up, and bytes of text at a time.
+RANGES, PIECE = 64, 1_000_000
 
 #: Classes of bytes: white space, letters (all of UTF-8 beyond ASCII), digits, other signs.
 _CLASS = np.full(256, 3, np.uint8)
@@ -62,7 +62,7 @@ def index_places() -> tuple[np.ndarray, np.ndarray]:
     """The PLACES dimensions of each bucket's index vector and the sign, 1 or -1, at each."""
     rng = np.random.default_rng(SEED)
     pairs = [(rng.integers(0, DIM, BUCKETS), rng.choice(np.array([-1, 1]), BUCKETS)) for _ in range(PLACES)]
-    return np.stack([p for p, _ in pairs], 1), np.stack([s for _, s in pairs], 1)
+    return np.stack([p for p, _ in pairs], 1), np.stack([s for _, s in pairs], 1).astype(np.float64)
 
 
 def index_vectors() -> np.ndarray:
@@ -78,24 +78,26 @@ def add_contexts(total: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
     places, signs = index_places()
     same = np.ones(len(ids), bool)
     same[(np.cumsum(n) - n)[n > 0]] = False
-    after = np.flatnonzero(same)
-    left, right = ids[after - 1].astype(np.int64), ids[after].astype(np.int64)
-    flat = total.reshape(-1)
-    for k in range(PLACES):
-        flat += np.bincount(left * DIM + places[right, k], signs[right, k], BUCKETS * DIM)
-        flat += np.bincount(right * DIM + (places[left, k] + 1) % DIM, signs[left, k], BUCKETS * DIM)
+    after, flat = np.flatnonzero(same), total.reshape(-1)
+    for at in range(0, len(after), 65536):
+        some = after[at : at + 65536]
+        left, right = ids[some - 1].astype(np.int64), ids[some].astype(np.int64)
+        for k in range(PLACES):
+            np.add.at(flat, left * DIM + places[right, k], signs[right, k])
+            np.add.at(flat, right * DIM + (places[left, k] + 1) % DIM, signs[left, k])
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
     """Context vectors (BUCKETS x DIM) over all rows of docs(text). Sums of whole numbers, so their order doesn't matter."""
 
     def add(batches):
-        total = np.zeros((BUCKETS, DIM))
+        total = np.zeros((BUCKETS, DIM))  # whole numbers, exact as such
         for batch in batches:
-            for b in in_pieces(batch, "_text"):
+            for b in in_pieces(batch, "_text", PIECE):
                 add_contexts(total, *token_ids(*words.buffers(b.column("_text"))))
         parts = [x.astype("<i8").tobytes() for x in np.split(total, RANGES)] if total.any() else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["part", "sums"])
+        release()
 
     def merge(batches):
         totals: dict[int, np.ndarray] = {}
@@ -122,10 +124,10 @@ def pooled(ids: np.ndarray, n: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean of each row's tokens' vectors; zeros for a row without tokens."""
     out = np.zeros((len(n), vectors.shape[1]))
     row = np.repeat(np.arange(len(n)), n)
-    for at in range(0, len(ids), 16384):
-        own = row[at : at + 16384]
+    for at in range(0, len(ids), 4096):
+        own = row[at : at + 4096]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[starts]] += np.add.reduceat(vectors[ids[at : at + 16384]], starts, 0)
+        out[own[starts]] += np.add.reduceat(vectors[ids[at : at + 4096]], starts, 0)
     return (out / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
@@ -205,9 +207,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = (), score: str = "s
     def run(batches):
         m = sent.value
         for batch in batches:
-            for b in in_pieces(batch, text):
+            for b in in_pieces(batch, text, PIECE):
                 p = m.score(pooled(*token_ids(*words.buffers(b.column(text))), m.vectors))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(p.astype(np.float64))], [*keep, score])
+        release()
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]

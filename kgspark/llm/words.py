@@ -20,7 +20,7 @@ _BYTES = _rng.integers(1, 2**64, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 #: Bytes that are hashed at once, but for a word that is longer.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 
