@@ -7,7 +7,7 @@ components is uncompared. So a group of thousands of copies costs a comparison o
 member, and no pair of a bucket is lost. A candidate's signatures are compared batch by batch;
 it is dropped as soon as the posterior probability that its similarity reaches the threshold falls
 below the miss probability. Survivors are verified on the full sets of 64-bit shingle hashes; in the last round
-within the block in which they meet, so a pair becomes a row only if it is a link.
+block by block, so that a pair becomes a row only if it is a link.
 """
 
 from __future__ import annotations
@@ -185,12 +185,31 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id long, hashes binary")
 
 
-def compare_blocks(entries: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """All links (a, b) of a bucket between different components: pairs of near sizes that their signatures don't rule out and their sets confirm.
+def _runs(work, start: tuple[str, ...] = ("key", "i", "j")):
+    """Function of sorted batches that hands work whole runs of equal key, i and j: a table and the rows at which its runs begin, with its end."""
 
-    A bucket of more than BLOCK entries, or BLOCK_BYTES of sets, is dealt into blocks, and each two blocks meet by
-    themselves: the pairs are compared in numpy arrays, in the first band whose key they share (the 8 bits of a
-    signature also agree where keys don't), and only links become rows.
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            cols = [t.column(c).to_numpy() for c in start]
+            starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]) if t.num_rows else np.zeros(1, np.int64)
+            if len(starts) > 1:
+                yield from work(t, starts)
+            rest = t.slice(int(starts[-1]))
+        if rest is not None and rest.num_rows:
+            yield from work(rest, np.array([0, rest.num_rows]))
+
+    return run
+
+
+def candidates(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, i, j, a, b: for each two blocks i and j of a bucket that meet, the ids of all pairs that aren't ruled out, in two arrays.
+
+    Pairs of a bucket are of different components and near sizes, and their signatures don't rule them out. A bucket of more than
+    BLOCK entries, or BLOCK_BYTES of sets, is dealt into blocks, and each two blocks meet by themselves in numpy arrays, so there is
+    one row for two blocks and none for a pair. A pair counts in the first band whose key it shares (the 8 bits of a signature also agree where keys don't).
     """
     blocks = F.col("m")
     bytes_ = F.sum(F.col("n") * 8)
@@ -198,11 +217,12 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame, sets: DataFrame, percent
     x = entries.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     x = x.select("key", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root")
-    x = x.join(sigs.select("id", "sig", "keys"), "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    x = x.join(sigs.select("id", "sig", "keys"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def pairs_of(t: pa.Table, cuts: np.ndarray):
-        own, i, j = (t.column(c).to_numpy() for c in ("own", "i", "j"))
-        left, right, size = [], [], 0
+    def found(t: pa.Table, cuts: np.ndarray):
+        ids, n, root, band, key, i, j, own = (t.column(c).to_numpy() for c in ("id", "n", "root", "band", "key", "i", "j", "own"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if i[lo] == j[lo]:
                 a, b = np.triu_indices(hi - lo, 1)
@@ -210,47 +230,44 @@ def compare_blocks(entries: DataFrame, sigs: DataFrame, sets: DataFrame, percent
                 k = int((own[lo:hi] == i[lo]).sum())
                 a, b = (g.ravel() for g in np.indices((k, hi - lo - k)))
                 b = b + k
-            left.append(a + lo)
-            right.append(b + lo)
-            size += len(a)
-            if size > 200_000:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, size = [], [], 0
-        if size:
-            yield np.concatenate(left), np.concatenate(right)
-
-    def compare(batches):
-        rest, names = None, ["a", "b"]
-
-        def found(t: pa.Table, cuts: np.ndarray):
-            ids, n, root, band = (t.column(c).to_numpy() for c in ("id", "n", "root", "band"))
-            hashes = t.column("hashes").combine_chunks()
-            set_of = lambda k: np.frombuffer(hashes[int(k)].as_buffer(), "<u8")
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
-            for a, b in pairs_of(t, cuts):
-                ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                a, b = a[ok], b[ok]
-                keep, _ = _alive(a, b, sig, percent)
-                a, b = a[keep], b[keep]
-                keep = np.flatnonzero((keys[a] == keys[b]).argmax(1) == band[a])
-                keep = keep[[_similar(set_of(i), set_of(j), percent) for i, j in zip(a[keep], b[keep])]] if len(keep) else keep
-                x, y = ids[a[keep]], ids[b[keep]]
-                if len(keep):
-                    each = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], names)
+            a, b = a + lo, b + lo
+            ok = (root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+            a, b = a[ok], b[ok]
+            keep, _ = _alive(a, b, sig, percent)
+            a, b = a[keep], b[keep]
+            keep = np.flatnonzero((keys[a] == keys[b]).argmax(1) == band[a])
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array([key[lo]]), pa.array([i[lo]], pa.int32()), pa.array([j[lo]], pa.int32()), *[pa.array([ids[side[keep]].astype("<i8").tobytes()], pa.binary()) for side in (a, b)]], ["key", "i", "j", "a", "b"])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            yield from found(t, starts)
-            rest = t.slice(int(starts[-1]))
-        if rest is not None and rest.num_rows:
-            yield from found(rest, np.array([0, rest.num_rows]))
+    return x.mapInArrow(_runs(found), "key long, i int, j int, a binary, b binary")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The distinct links (a, b) among candidates(): each set that two blocks need comes to them once, and only links become rows."""
+
+    def members(batches):
+        for b in batches:
+            for key, i, j, x, y in zip(*[c.to_pylist() for c in b.columns]):
+                ids = np.unique(np.frombuffer(x + y, "<i8"))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.int64()), pa.array([i] * len(ids), pa.int32()), pa.array([j] * len(ids), pa.int32()), pa.array(ids)], ["key", "i", "j", "id"])
+
+    need = staged(pairs.mapInArrow(members, "key long, i int, j int, id long"))
+    sets = staged(shingle_sets(texts.join(need.select("id").distinct(), "id", "left_semi")))
+    none = F.lit(None)
+    rows = need.join(sets, "id").select("key", "i", "j", "id", "hashes", none.cast("binary").alias("a"), none.cast("binary").alias("b"))
+    rows = rows.unionByName(pairs.select("key", "i", "j", none.cast("long").alias("id"), none.cast("binary").alias("hashes"), "a", "b"))
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")  # the pairs come first
+
+    def check(t: pa.Table, cuts: np.ndarray):
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            own = t.slice(lo, hi - lo)
+            sets_ = {k: np.frombuffer(h, "<u8") for k, h in zip(own.column("id").to_pylist(), own.column("hashes").to_pylist()) if k is not None}
+            x, y = (np.frombuffer(own.column(c)[0].as_py(), "<i8") for c in ("a", "b"))
+            keep = np.array([_similar(sets_[a], sets_[b], percent) for a, b in zip(x.tolist(), y.tolist())], bool)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
 
-    return x.mapInArrow(compare, "a long, b long").distinct()
+    return rows.mapInArrow(_runs(check), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -306,9 +323,9 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
             linked = staged(verify(pairs, texts, percent))
             unstaged(leaders, pairs)
         else:
-            sets = staged(shingle_sets(texts.join(entries.select("id").distinct(), "id", "left_semi")))
-            linked = staged(compare_blocks(entries, sigs, sets, percent))
-            unstaged(sets)
+            pairs = staged(candidates(entries, sigs, percent))
+            linked = staged(confirmed(pairs, texts, percent))
+            unstaged(pairs)
         edges = linked.join(labels.withColumnsRenamed({"id": "a", "root": "ra"}), "a").join(labels.withColumnsRenamed({"id": "b", "root": "rb"}), "b")
         roots = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         moved = roots.select(F.col("id").alias("was"), F.col("root").alias("to"))
