@@ -59,13 +59,15 @@ def by_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def search(names: DataFrame, descriptions: DataFrame) -> DataFrame:
     """name, concept_id, fsn, term: for each name the first description (by ord) that holds all its words, in any case.
 
-    descriptions(ord, term, concept_id, fsn). A name meets only the descriptions that hold its longest word. Names without a hit have no row.
+    descriptions(ord, term, concept_id, fsn). A name meets only the descriptions that hold its rarest word. Names without a hit have no row.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda x: x != ""))
     q = names.select("name").distinct().withColumn("_w", words(F.col("name"))).where("size(_w) > 0")
-    longest = F.array_max(F.transform("_w", lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
     d = descriptions.withColumn("_d", words(F.col("term"))).withColumn("_key", F.explode("_d"))
-    both = q.withColumn("_key", longest).join(d, "_key").where(F.size(F.array_except("_w", "_d")) == 0)
+    known = d.groupBy("_key").agg(F.count("*").alias("_n"))
+    each = q.select("name", "_w", F.explode("_w").alias("_key")).join(known, "_key")
+    rarest = each.groupBy("name", "_w").agg(F.count("*").alias("_held"), F.min_by("_key", F.struct("_n", "_key")).alias("_key")).where(F.col("_held") == F.size("_w"))
+    both = rarest.join(d, "_key").where(F.size(F.array_except("_w", "_d")) == 0)
     best = both.groupBy("name").agg(F.min_by(F.struct("concept_id", "fsn", "term"), "ord").alias("x"))
     return best.select("name", "x.*")
 

@@ -233,4 +233,4 @@ def graph_tables(spark: SparkSession, entities_path: str, relations_path: str) -
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header, each file marked as UTF-8 by a leading byte order mark."""
     first, *others = rows.columns
-    rows.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *[F.col(f"`{c}`") for c in others]).write.csv(path, header=True, escape='"')
+    rows.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *[F.col(f"`{c}`") for c in others]).write.mode("overwrite").csv(path, header=True, escape='"')

@@ -255,3 +255,27 @@ def test_malformed_relationship_texts():
 def test_rouge_of_text_without_spaces():
     assert evaluation.rouge_scores("烧伤 pain", "烧 伤 pain!", evaluation.tokens)[0] == 2 * 3 / 7
     assert evaluation.rouge_scores("烧伤", "烧 伤")[0] == 0
+
+
+def test_cleaning_of_files(spark, tmp_path):
+    from kgspark.plans import clean
+
+    (tmp_path / "a.json").write_text(json.dumps({"entities": [{"name": " Burn ", "type": "burn_injury", "description": "d", "attributes": {"k": "v"}}, "text", {"name": "Pic", "type": "Figure 1"}], "relations": [{"type": "in", "from": "Burn", "to": "Skin"}, ["Burn", "r", "x", ""], {"relation": "of", "head": "Pic", "tail": "Burn"}]}))
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "st.csv").write_text("name,semantic_type,tui\nburn,Injury,T1\n")
+    (tmp_path / "cui.csv").write_text("name,cui,pref_label\nburn,C1,\n")
+    inputs = [str(tmp_path / n) for n in ("a.json", "b.json", "none.json")]
+    paths = clean.run(spark, inputs, f"{tmp_path}/out", semantic=str(tmp_path / "st.csv"), concepts=str(tmp_path / "cui.csv"), snomed=str(tmp_path / "none.csv"))
+    got = {r.name: r for r in spark.read.parquet(paths["entities"]).collect()}
+    assert got["Burn"].type == "Burn Injury" and got["Burn"].umls_semantic_type == "Injury" and got["Burn"].umls_cui == "C1" and got["Burn"].snomed_id is None
+    assert got["Burn"].verbalization == "Burn；（类型：Burn Injury）；d；关联: Burn --in--> Skin；被关联: Pic --of--> Burn；属性: k: v"
+    assert (got["Pic"].type, got["Pic"].subTypeLabel, got["Pic"].type_original) == ("Thing", "Figure 1", "Figure 1")
+    summary = {r.metric: r.value for r in readers.lexicon(spark, paths["summary"], ["metric", "value"], "metric").collect()}
+    assert summary == {"entities": "2", "relations": "2", "types": "2", "cut": "5"}
+    assert [r.name for r in readers.lexicon(spark, paths["unmapped"], ["name"]).collect()] == ["Pic"]
+    nothing = clean.run(spark, [str(tmp_path / "none.json")], f"{tmp_path}/empty")
+    assert spark.read.parquet(nothing["entities"]).count() == 0
+    lists, _ = clean.load(spark, inputs[0]), None
+    assert lists[1].count() == 2 and clean.load(spark, inputs[0], objects_only=False)[1].count() == 3
+    files = spark.createDataFrame([("b",), ("a",)], "f string")
+    assert sorted((r.f, r.topic_idx) for r in clean.by_position(files, "f").collect()) == [("a", 1), ("b", 2)]
