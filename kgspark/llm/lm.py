@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import words
-from kgspark.llm.common import crc_mod, in_pieces, release, staged
+from kgspark.llm.common import crc_mod, in_batches, in_pieces, release, staged
 from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
@@ -73,45 +73,53 @@ def _blocks(own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 _CAUSAL = np.concatenate([np.zeros((BLOCK, BLOCK), np.float32), np.triu(np.full((BLOCK, BLOCK), -1e9, np.float32), 1)], 1)
 
 
-def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """All values on the way to the hidden states of the blocks x, for training; before: the block before each."""
-    e, eb = p["e"].take(x, 0), p["e"].take(before, 0)
-    both = np.concatenate([eb, e], 1)
-    k2, v2, q = _dense(both, p["k"]), _dense(both, p["v"]), _dense(e, p["q"])
-    s = q @ k2.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + p["place"] + _CAUSAL
-    s[first, :, :BLOCK] = -1e9
-    a = np.exp(np.minimum(s, 60))  # instead of the row's maximum: keeps exp finite
-    a /= a.sum(2, keepdims=True)
-    c = a @ v2
-    h = _dense(c, p["o"]) + e
-    f = np.maximum(_dense(h, p["w1"]) + p["b1"], 0)
-    return {"e": e, "eb": eb, "q": q, "k2": k2, "v2": v2, "a": a, "c": c, "h": h, "f": f, "out": _dense(f, p["w2"]) + h}
-
-
 def _dense(a: np.ndarray, w: np.ndarray) -> np.ndarray:
     """a @ w as one product of two matrices; numpy would make one for each block."""
     return (a.reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], -1)
 
 
+def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """All values on the way to the hidden states of the blocks x, for training; before: the block before each.
+
+    One head as wide as the embedding needs one matrix from queries to keys (qk) and one from values to outputs (vo).
+    """
+    both = p["e"].take(np.concatenate([before, x], 1), 0)
+    e = both[:, BLOCK:]
+    q = _dense(e, p["qk"] * np.float32(WIDTH**-0.5))
+    s = q @ both.transpose(0, 2, 1)
+    s += p["place"] + _CAUSAL
+    s[first, :, :BLOCK] = -1e9
+    np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
+    a = np.exp(s, out=s)
+    a /= a.sum(2, keepdims=True)
+    c = a @ both
+    h = _dense(c, p["vo"])
+    h += e
+    f = _dense(h, p["w1"])
+    f += p["b1"]
+    np.maximum(f, 0, out=f)
+    return {"both": both, "q": q, "a": a, "c": c, "h": h, "f": f, "out": _dense(f, p["w2"]) + h}
+
+
 def _states(net: Network):
     """Function of blocks that follow each other to their hidden states; the first block only precedes the second.
 
-    Queries, keys and values depend on the id alone, so they are looked up in tables of all ids.
+    Queries and values depend on the id alone, so they are looked up in tables of all ids.
     """
     p = net.p
-    e, q, k, v = p["e"], p["e"] @ (p["q"] * np.float32(WIDTH**-0.5)), p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"]
+    e, q, v = p["e"], p["e"] @ (p["qk"] * np.float32(WIDTH**-0.5)), p["e"] @ p["vo"]
     mask, ones = p["place"] + _CAUSAL, np.ones((2 * BLOCK, 1), np.float32)
 
     def states(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        kx, vx = k.take(x, 0), v.take(x, 0)
-        s = q.take(x[1:], 0) @ np.concatenate([kx[:-1], kx[1:]], 1).transpose(0, 2, 1)
+        ex, vx = e.take(x, 0), v.take(x, 0)
+        s = q.take(x[1:], 0) @ np.concatenate([ex[:-1], ex[1:]], 1).transpose(0, 2, 1)
         s += mask
         s[first, :, :BLOCK] = -1e9
         np.minimum(s, 60, out=s)
         np.exp(s, out=s)
         h = s @ np.concatenate([vx[:-1], vx[1:]], 1)
         h /= _dense(s, ones)
-        h += e.take(x[1:], 0)
+        h += ex[1:]
         f = _dense(h, p["w1"])
         f += p["b1"]
         np.maximum(f, 0, out=f)
@@ -208,7 +216,7 @@ def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, count: np
     share = np.bincount(to_own, count, SIDE * SIDE)
     share[end] += ends
     share = share.astype(np.float32) + np.float32(0.5)
-    p = {"e": rng.normal(0, 0.5, (SIDE * SIDE + 1, WIDTH)).astype(np.float32), "q": init(WIDTH, WIDTH), "k": init(WIDTH, WIDTH), "v": init(WIDTH, WIDTH), "o": init(WIDTH, WIDTH), "place": np.zeros((BLOCK, 2 * BLOCK), np.float32), "w1": init(WIDTH, HIDDEN), "b1": init(HIDDEN), "w2": init(HIDDEN, WIDTH), "c": init(WIDTH, SIDE), "cb": np.log(share.reshape(SIDE, SIDE).sum(1) / share.sum()), "t": rng.normal(0, 0.1, (SIDE * SIDE, WIDTH)).astype(np.float32), "tb": np.log(share / np.repeat(share.reshape(SIDE, SIDE).sum(1), SIDE))}
+    p = {"e": rng.normal(0, 0.5, (SIDE * SIDE + 1, WIDTH)).astype(np.float32), "qk": init(WIDTH, WIDTH), "vo": init(WIDTH, WIDTH), "place": np.zeros((BLOCK, 2 * BLOCK), np.float32), "w1": init(WIDTH, HIDDEN), "b1": init(HIDDEN), "w2": init(HIDDEN, WIDTH), "c": init(WIDTH, SIDE), "cb": np.log(share.reshape(SIDE, SIDE).sum(1) / share.sum()), "t": rng.normal(0, 0.1, (SIDE * SIDE, WIDTH)).astype(np.float32), "tb": np.log(share / np.repeat(share.reshape(SIDE, SIDE).sum(1), SIDE))}
     other = to_own == 0
     rest = np.where(other, np.log((count + 1) * (max(1, other.sum()) / (count[other].sum() + max(1, other.sum())))), 0)
     net = Network(p, to_own, max(1, size - len(best)), rest)
@@ -272,20 +280,22 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, firs
     df = _dense(out, p["w2"].T) * (s["f"] > 0)
     g |= {"w2": flat(s["f"]).T @ flat(out), "w1": flat(s["h"]).T @ flat(df), "b1": flat(df).sum(0)}
     dh = out + _dense(df, p["w1"].T)
-    g["o"] = flat(s["c"]).T @ flat(dh)
-    dc = _dense(dh, p["o"].T)
-    dv, da = s["a"].transpose(0, 2, 1) @ dc, dc @ s["v2"].transpose(0, 2, 1)
-    ds = s["a"] * (da - (da * s["a"]).sum(2, keepdims=True))
+    g["vo"] = flat(s["c"]).T @ flat(dh)
+    dc, both, a = _dense(dh, p["vo"].T), s["both"], s["a"]
+    dboth = a.transpose(0, 2, 1) @ dc
+    ds = dc @ both.transpose(0, 2, 1)
+    ds -= (ds * a).sum(2, keepdims=True)
+    ds *= a
     g["place"] = ds.sum(0)
-    ds = ds * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ s["k2"], ds.transpose(0, 2, 1) @ s["q"]
-    g["q"] = flat(s["e"]).T @ flat(dq)
-    both = np.concatenate([s["eb"], s["e"]], 1)
-    g |= {"k": flat(both).T @ flat(dk), "v": flat(both).T @ flat(dv)}
-    de = _dense(dk, p["k"].T) + _dense(dv, p["v"].T)
-    own = de[:, BLOCK:] + dh + _dense(dq, p["q"].T)
+    dboth += ds.transpose(0, 2, 1) @ s["q"]
+    dq = ds @ both
+    dq *= np.float32(WIDTH**-0.5)
+    g["qk"] = flat(both[:, BLOCK:]).T @ flat(dq)
+    own = dboth[:, BLOCK:]
+    own += dh
+    own += _dense(dq, p["qk"].T)
     ge = np.zeros_like(p["e"])
-    _summed(np.concatenate([x.ravel(), before.ravel()]), np.concatenate([flat(own), flat(de[:, :BLOCK])]), ge)
+    _summed(np.concatenate([before, x], 1).ravel(), flat(dboth), ge)
     return g | {"e": ge}
 
 
@@ -422,7 +432,7 @@ def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         encode.forget()  # the worker's memory is for the next stage
         release()
 
-    return docs.mapInArrow(run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, turn int, hashes binary, counts binary, places binary, ids binary, lengths binary")
+    return in_batches(docs, run, "chunk string, doc_id array<long>, held_out array<boolean>, n array<long>, turn int, hashes binary, counts binary, places binary, ids binary, lengths binary")
 
 
 _CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("turn", pa.int32()), *[(c, pa.binary()) for c in ("hashes", "counts", "places", "ids", "lengths")]])
@@ -521,4 +531,4 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 score = pa.array(per_text(mixed_scores(np.insert(net, np.cumsum(m), by_end), count[at], n, -lowest)))
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(m + 1), pa.array(per_text(count[at] > 0), pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
 
-    return both.mapInArrow(sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_batches(both, sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
