@@ -12,15 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, free_name, staged
+from kgspark.llm.common import byte_rows, free_name, in_batches, staged
 
 HASH_BITS, LEVEL_BITS = 60, 6
 
 
-def mix_hash(doc_id: Column) -> Column:
-    """60 bits of md5 of the id's text; a null id counts as the empty text."""
-    text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+def mix_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of md5 of the id's text and the text; nulls count as empty. So rows of one id, or of none, are told apart by their texts."""
+    both = F.concat_ws("\n", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def word_sizes(docs: DataFrame) -> DataFrame:
@@ -29,10 +29,10 @@ def word_sizes(docs: DataFrame) -> DataFrame:
     def count(batches):
         for b in batches:
             sizes = [len(x.split()) for x in byte_rows(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), b.column("h")], ["doc_id", "source", "size", "h"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    return rows.mapInArrow(count, "doc_id long, source string, size long").withColumn("h", mix_hash(F.col("doc_id")))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), mix_hash(F.col("doc_id").cast("long"), F.col("text")).alias("h"))
+    return in_batches(rows, count, "doc_id long, source string, size long, h long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -64,7 +64,7 @@ def thresholds(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
     Every document of a source is taken floor(target / source_size) times and those whose hash is
     below the source's threshold once more. The document at the threshold is taken once more if
-    that brings the sum nearer to the target. Rows of equal id have equal hashes and are treated
+    that brings the sum nearer to the target. Rows of equal id and text have equal hashes and are treated
     alike; documents without words get the same rule and take 0 words; a null source is a source;
     an empty table gives an empty table. Sources are counted in thousands, not in documents: tables
     of one row for each source are joined as Spark sees fit (broadcast only while small).
@@ -119,7 +119,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     name = {c: free_name(c, docs.columns) for c in ("s", "base", "h_at", "last", "rest", "copies", "copy")}
     f = f.select(*[F.col(c).alias(name[c]) for c in ("s", "base", "h_at", "last", "rest")])
     out = docs.join(f, F.col("source").cast("string").eqNullSafe(F.col(name["s"])))
-    out = out.withColumn(name["copies"], _copies(mix_hash(F.col("doc_id")), name))
+    out = out.withColumn(name["copies"], _copies(mix_hash(F.col("doc_id").cast("long"), F.col("text")), name))
     again = F.explode(F.sequence(F.lit(1), F.col(name["copies"]).cast("int")))
     return out.where(F.col(name["copies"]) > 0).withColumn(name["copy"], again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -127,7 +127,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM s0),
