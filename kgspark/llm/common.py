@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import zlib
+from collections.abc import Callable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.staging import shared_dir, staged, unstaged
 
-__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "free_name", "in_pieces", "release", "shared_dir", "staged", "unstaged"]
+#: Bytes of a batch that goes to a worker, and Spark's own setting, which this replaces.
+BATCH_BYTES, SPARK_BATCH_BYTES = 4 << 20, "67108864b"
+
+__all__ = ["byte_rows", "crc_mod", "crc_mod_value", "free_name", "in_batches", "in_pieces", "release", "shared_dir", "staged", "unstaged"]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -33,6 +37,14 @@ def release() -> None:
         pass
 
 
+def in_batches(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """rows.mapInArrow(run, schema) with batches of BATCH_BYTES, as texts may be long; a session that has its own limit keeps it."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == SPARK_BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """The name, with underscores after it until no column has it in any case."""
     taken = {c.lower() for c in columns}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import crc_mod, free_name, release
+from kgspark.llm.common import crc_mod, free_name, in_batches, release
 
 #: Letters a-z have classes 1-26, all other letters share 27-63 by code point; 0 stands between words.
 CLASSES, DIM, SEED = 64, 512, 7
@@ -70,7 +70,7 @@ def trigram_counts(training: DataFrame) -> DataFrame:
             codes = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(n[codes])], ["lang", "code", "n"])
 
-    return training.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return in_batches(training, count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def learn(training: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text_))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(label, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
+    return in_batches(rows, label, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from kgspark.llm.common import byte_rows, in_pieces, shared_dir
+from kgspark.llm.common import byte_rows, in_batches, in_pieces, shared_dir
 
 ROW, PAD = 576, b"\xff"
 MEMBERS = "doc_id long, media binary, archive string, offset long"
@@ -121,7 +121,7 @@ def write_archives(docs: DataFrame, path: str, at_most: int = 16 << 20) -> str:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = rows.mapInArrow(write, "name string, bytes long, members long").collect()
+    made = in_batches(rows, write, "name string, bytes long, members long").collect()
     store, folder = _open(path)
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(f"{folder}/_manifest.json") as out:
@@ -227,7 +227,7 @@ def features(media: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names)
 
-    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_batches(media.select("doc_id", "media"), compute, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_features(docs: DataFrame) -> DataFrame:

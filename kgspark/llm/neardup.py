@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, in_pieces, release, staged, unstaged
+from kgspark.llm.common import byte_rows, in_batches, in_pieces, release, staged, unstaged
 from kgspark.operators.components import connected_components
 
 #: Words of a shingle, rows of a band, and the probability at most that a pair at the threshold shares no band.
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(sketch, "doc_id long, n long, fp1 long, fp2 long, keys array<long>, sig binary")
+    return in_batches(rows, sketch, "doc_id long, n long, fp1 long, fp2 long, keys array<long>, sig binary")
 
 
 @cache
@@ -165,7 +165,7 @@ def prune(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFram
 
     s = sigs.select("id", "sig")
     both = pairs.join(s.withColumnsRenamed({"id": "a", "sig": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sig": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, hits long")
+    return in_batches(both.select("a", "b", "sa", "sb"), check, "a long, b long, hits long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -182,7 +182,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
             for b in in_pieces(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([shingles(t).astype("<u8").tobytes() for t in byte_rows(b.column("text"))], pa.binary())], ["id", "hashes"])
 
-    return texts.mapInArrow(run, "id long, hashes binary")
+    return in_batches(texts, run, "id long, hashes binary")
 
 
 def _runs(work, start: tuple[str, ...] = ("key", "i", "j")):
@@ -239,7 +239,7 @@ def candidates(entries: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> D
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array([key[lo]]), pa.array([i[lo]], pa.int32()), pa.array([j[lo]], pa.int32()), *[pa.array([ids[side[keep]].astype("<i8").tobytes()], pa.binary()) for side in (a, b)]], ["key", "i", "j", "a", "b"])
 
-    return x.mapInArrow(_runs(found), "key long, i int, j int, a binary, b binary")
+    return in_batches(x, _runs(found), "key long, i int, j int, a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -267,7 +267,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
 
-    return rows.mapInArrow(_runs(check), "a long, b long").distinct()
+    return in_batches(rows, _runs(check), "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -285,7 +285,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return in_batches(both.select("a", "b", "ta", "tb"), check, "a long, b long")
 
 
 def _leaders(entries: DataFrame, turn: int) -> DataFrame:

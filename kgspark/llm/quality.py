@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import words
-from kgspark.llm.common import crc_mod, crc_mod_value, free_name, in_pieces, release
+from kgspark.llm.common import crc_mod, crc_mod_value, free_name, in_batches, in_pieces, release
 
 #: Token buckets, dimensions of an index vector, non-zero places in it, hidden units.
 BUCKETS, DIM, PLACES, HIDDEN, SEED = 1 << 15, 48, 6, 32, 11
@@ -107,7 +107,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["part", "sums"])
 
     kind = "part int, sums binary"
-    rows = docs.select(F.col("text").cast("string").alias("_text")).mapInArrow(add, kind).repartition(RANGES, "part").mapInArrow(merge, kind)
+    rows = in_batches(docs.select(F.col("text").cast("string").alias("_text")), add, kind).repartition(RANGES, "part").mapInArrow(merge, kind)
     out = np.zeros((BUCKETS, DIM))
     for r in rows.collect():  # RANGES rows, BUCKETS x DIM numbers
         out.reshape(RANGES, -1)[r.part] = np.frombuffer(r.sums, "<i8")
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] = (), score: str = "s
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*fields, f"`{score}` double"]))
+    return in_batches(rows, run, ", ".join([*fields, f"`{score}` double"]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, free_name, in_pieces
+from kgspark.llm.common import byte_rows, free_name, in_batches, in_pieces, release
 
 MARK = "▁"
 #: A byte that no UTF-8 text has.
@@ -172,7 +172,7 @@ def chunks(text: bytes, model: Model, normal=None) -> list[bytes]:
 class Codec:
     """Ids of whole texts, each distinct chunk encoded, compared and decoded once; up to keep chunks are kept."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         import sentencepiece
 
         self.model, self.tokenizer, self.keep, self.normal = parse(path), backend(path), keep, normaliser(path)
@@ -236,15 +236,16 @@ def encode(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     def run(batches):
         own = codec(path)
         for batch in batches:
-            for b in in_pieces(batch, text):
+            for b in in_pieces(batch, text, 2_000_000):
                 raw, same = own(byte_rows(b.column(text)))
                 n = np.array([len(x) // 4 for x in raw], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists, pa.array(n), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(same)], [*keep, "pieces", "n_pieces", "ids_crc32", "parity"])
+        release()
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text))
     fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join([*fields, "pieces array<int>, n_pieces long, ids_crc32 long, parity boolean"]))
+    return in_batches(rows, run, ", ".join([*fields, "pieces array<int>, n_pieces long, ids_crc32 long, parity boolean"]))
 
 
 def decode(ids: list[list[int]], path: str) -> list[str]:

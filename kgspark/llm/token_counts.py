@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import byte_rows, in_pieces
+from kgspark.llm.common import byte_rows, in_batches, in_pieces
 from kgspark.llm.sentencepiece_codec import BYTE, CONTROL, MARK, NO_MARK, UNKNOWN, chunks, normaliser, parse
 
 #: What an unknown character costs beyond the worst piece, a fixed value of unigram models.
@@ -99,4 +99,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(words, np.int64)), pa.array(np.array(tokens, np.int64))], ["doc_id", "n_pretokens", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return in_batches(rows, run, "doc_id long, n_pretokens long, n_tokens long")

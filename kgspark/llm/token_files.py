@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm import words
-from kgspark.llm.common import in_pieces, shared_dir
+from kgspark.llm.common import in_batches, in_pieces, shared_dir
 
 SCHEMA = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 #: Parquet writer settings: row groups of 16 MB, pages of 64 kB, dictionary pages that fall back to delta encoding (writer v2).
@@ -198,7 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
+    in_batches(rows, encode, SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
 
@@ -224,7 +224,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "part", "first", "n_tokens")], pa.array(crc, pa.int64())], ["doc_id", "part", "first", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).mapInArrow(digest, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
+    rows = in_batches(read_tokens(spark, path), digest, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
     starts = token_starts(spark, path)
     return rows.join(starts, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -320,10 +320,10 @@ def test_scores_are_those_of_the_network_written_plainly():
         total = 0.0
         for i, t in enumerate(target):
             lo = max(0, (i // lm.BLOCK - 1) * lm.BLOCK)
-            e, q = p["e"][x[i]], p["e"][x[i]] @ p["q"]
-            s = np.array([q @ (p["e"][x[j]] @ p["k"]) / np.sqrt(lm.WIDTH) + p["place"][i % lm.BLOCK, j - (i // lm.BLOCK - 1) * lm.BLOCK] for j in range(lo, i + 1)])
+            e, q = p["e"][x[i]], p["e"][x[i]] @ p["qk"]
+            s = np.array([q @ p["e"][x[j]] / np.sqrt(lm.WIDTH) + p["place"][i % lm.BLOCK, j - (i // lm.BLOCK - 1) * lm.BLOCK] for j in range(lo, i + 1)])
             a = np.exp(s) / np.exp(s).sum()
-            h = e + sum(w * (p["e"][x[j]] @ p["v"]) for w, j in zip(a, range(lo, i + 1))) @ p["o"]
+            h = e + sum(w * p["e"][x[j]] for w, j in zip(a, range(lo, i + 1))) @ p["vo"]
             h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
             c, k = divmod(int(t), lm.SIDE)
             lp = logsoft(h @ p["c"] + p["cb"])[c] + logsoft(p["t"].reshape(lm.SIDE, lm.SIDE, -1)[c] @ h + p["tb"].reshape(lm.SIDE, -1)[c])[k]
