@@ -65,7 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 times, all rows of a doc_id alike. A null source is a source of its own."""
+    """Documents as often as the mix takes them: 0, 1 or 2 times, equal rows alike. A null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
