@@ -24,8 +24,8 @@ from kgspark.llm.token_files import word_encoder
 
 #: Positions of a block, width, hidden units, classes and tokens in a class, steps and blocks of a step.
 BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
-#: Training texts at most for the network's start on the driver, by a hash of the id. All counts and the rounds cover every training text.
-TRAIN_ROWS = 1200
+#: Training texts at most, and bytes of each, for the network's start on the driver, by a hash of the id. All counts and the rounds cover every training text.
+TRAIN_ROWS, START_BYTES = 1200, 65536
 #: Rounds over the chunks, each training on its share of them, and the learning rates of the start and of a round.
 ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
 #: Share of the corpus's word counts in the score's mixture; the network has the rest.
@@ -300,11 +300,11 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, firs
 
 
 def learn(training: DataFrame, tokenizer_path: str, count: np.ndarray, ends: int, train_rows: int = TRAIN_ROWS) -> Network:
-    """Start the network on train_rows texts at most, those first by a hash of doc_id; count and ends are the whole corpus's."""
+    """Start the network on train_rows texts of START_BYTES at most, those first by a hash of doc_id, one an id; count and ends are the whole corpus's."""
     ids = training.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    some = training.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).where("text is not null").select("doc_id", "text")
-    texts = [r.text.encode().lower() for r in sorted(some.collect())]  # as many rows as the bound allows
+    some = training.where(F.octet_length("text") <= START_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    texts = [r.text.encode().lower() for r in sorted(some.groupBy("_id").agg(F.min("text").alias("text")).collect())]  # as many rows and bytes as the bounds allow
     encoder = word_encoder(tokenizer_path, KEEP)
     ids, n = encoder(pa.array(texts, pa.binary()))
     return fit(ids, n, len(encoder.ends), count=count, ends=ends)
@@ -409,6 +409,7 @@ def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             place = np.zeros(len(encode.words), np.int32)
             place[every] = 1
             used = np.flatnonzero(place)
+            used = used[np.argsort(encode.words.keys[used])]  # in the order of their hashes, by which buckets are ranges
             place[used] = np.arange(len(used))
             ids, lengths = encode.word_ids.take(used)
             raw = {"hashes": (encode.words.keys[used], "<u8"), "counts": (counts[used], "<i4"), "places": (place[every], "<i4"), "ids": (ids, "<i4"), "lengths": (lengths, "<i4")}
@@ -438,17 +439,16 @@ def _tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 _CHUNKS = pa.schema([("chunk", pa.string()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n", pa.list_(pa.int64())), ("turn", pa.int32()), *[(c, pa.binary()) for c in ("hashes", "counts", "places", "ids", "lengths")]])
 
 
-def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a chunk's words bucket by bucket, and where each bucket's begin, with the end."""
-    bucket = (hashes >> np.uint64(33)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's words begin among a chunk's, which are sorted by hash, with the end."""
+    step = -(-(2**64) // buckets)
+    return np.append(np.searchsorted(hashes, np.array([k * step for k in range(buckets)], np.uint64)), len(hashes))
 
 
 def corpus_counts(parts: DataFrame, buckets: int) -> DataFrame:
-    """chunk, bucket, totals, distinct: the counts in all chunks of each chunk's words, in the order of _dealt().
+    """chunk, bucket, totals, distinct: the counts in all chunks of each chunk's words, bucket by bucket.
 
-    The words of all chunks meet by buckets of their hashes, in arrays; distinct is, once for each bucket, how many of its words occur
+    The words of all chunks meet by ranges of their hashes, in arrays; distinct is, once for each bucket, how many of its words occur
     in training texts. Which words there are is never in one place.
     """
 
@@ -456,9 +456,9 @@ def corpus_counts(parts: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 hashes, counts = np.frombuffer(b.column("hashes")[k].as_py(), "<u8"), np.frombuffer(b.column("counts")[k].as_py(), "<i4")
-                order, cuts = _dealt(hashes, buckets)
+                cuts = _ranges(hashes, buckets)
                 some = np.flatnonzero(np.diff(cuts))
-                pieces = [order[cuts[i] : cuts[i + 1]] for i in some]
+                pieces = [slice(cuts[i], cuts[i + 1]) for i in some]
                 yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk")[k].as_py()] * len(some)), pa.array(some, pa.int32()), pa.array([hashes[p].tobytes() for p in pieces], pa.binary()), pa.array([counts[p].tobytes() for p in pieces], pa.binary())], ["chunk", "bucket", "h", "c"])
 
     def add(batches):
@@ -505,7 +505,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     net = learn(rows.where(~F.col("held_out")), tokenizer_path, count, ends)
     sent = docs.sparkSession.sparkContext.broadcast(refine(parts, net))
     back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals"))
-    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths", "hashes").join(back, "chunk", "left")
+    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths").join(back, "chunk", "left")
     lowest = np.log10(n + v + 1.0)
 
     def sums(batches):
@@ -513,12 +513,8 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 ids, held, own = (b.column(c)[k].values for c in ("doc_id", "held_out", "n"))
-                order, _ = _dealt(np.frombuffer(b.column("hashes")[k].as_py(), "<u8"), buckets)
-                count = np.zeros(len(order) + 1, np.int64)
-                count[-1] = ends
-                if len(order):
-                    pieces = sorted((x["bucket"], x["totals"]) for x in b.column("totals")[k].as_py())
-                    count[order] = np.frombuffer(b"".join(x for _, x in pieces), "<i8")
+                pieces = sorted((x["bucket"], x["totals"]) for x in b.column("totals")[k].as_py() or [])
+                count = np.append(np.frombuffer(b"".join(x for _, x in pieces), "<i8"), ends)
                 m, place = own.to_numpy(), np.frombuffer(b.column("places")[k].as_py(), "<i4")
                 at = np.insert(place, np.cumsum(m), len(count) - 1)
                 last = np.cumsum(m + 1)
