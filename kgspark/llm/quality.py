@@ -149,11 +149,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, aside: np.ndarray, contexts: np.ndarray, epochs: int = 40) -> Model:
-    """aside: rows that only the temperature is fitted on; contexts: see context_sums(). With no rows every score is 0.5."""
-    vectors = word_vectors(contexts)
-    each = [pooled(*token_ids(np.frombuffer(t, np.uint8), np.array([0, len(t)])), vectors) for t in texts]
-    x = np.concatenate(each or [np.zeros((0, vectors.shape[1]), np.float32)])
+def fit(x: np.ndarray, labels: np.ndarray, aside: np.ndarray, vectors: np.ndarray, epochs: int = 40) -> Model:
+    """x: the rows' pooled vectors; aside: rows that only the temperature is fitted on. With no rows every score is 0.5."""
     y, train = labels.astype(np.float32), ~aside
     rng = np.random.default_rng(SEED)
     rate = (y.sum() + 1) / (len(y) + 2)
@@ -189,15 +186,26 @@ def fit(texts: list[bytes], labels: np.ndarray, aside: np.ndarray, contexts: np.
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on train_rows labelled rows at most, of those whose crc32(doc_id) mod 5 is not 0; word vectors come from all documents.
 
-    Rows of equal doc_id count once, the first by text.
+    Rows of equal doc_id count once, the first by text. Texts are pooled on the executors: the driver gets a vector for each row.
     """
     ids = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
-    ids = ids.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_quality"))
+    ids = ids.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("_quality"))
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     own = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     some = own.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_quality").alias("_quality"))
-    rows = sorted(some.collect())  # as many rows as the bound allows
-    return fit([r._text.encode() for r in rows], np.array([r._quality for r in rows], np.float32), np.array([crc_mod_value(r._id, 25) % 5 == 1 and crc_mod_value(r._id, 7) < 2 for r in rows], bool), context_sums(docs))
+    vectors = word_vectors(context_sums(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def features(batches):
+        for batch in batches:
+            for b in in_pieces(batch, "_text", PIECE):
+                x = pooled(*token_ids(*words.buffers(b.column("_text"))), sent.value)
+                yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "_quality", "x"])
+
+    rows = sorted(in_batches(some.select("_id", "_quality", "_text"), features, "_id long, _quality int, x binary").collect())  # as many rows as the bound allows
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(len(rows), vectors.shape[1])
+    aside = np.array([crc_mod_value(r._id, 25) % 5 == 1 and crc_mod_value(r._id, 7) < 2 for r in rows], bool)
+    return fit(x, np.array([r._quality for r in rows], np.float32), aside, vectors)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] = (), score: str = "score") -> DataFrame:
