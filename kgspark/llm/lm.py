@@ -29,7 +29,7 @@ TRAIN_ROWS, START_BYTES = 1200, 65536
 #: Rounds over the chunks, each training on its share of them, and the learning rates of the start and of a round.
 ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
 #: Share of the corpus's word counts in the score's mixture; the network has the rest.
-SHARE = 0.5
+SHARE = 0.1
 #: Bytes of text whose words share one dictionary.
 CHUNK = 6 << 20
 #: Distinct words whose ids a worker keeps, and words of chunks that meet in one bucket.
