@@ -279,3 +279,23 @@ def test_cleaning_of_files(spark, tmp_path):
     assert lists[1].count() == 2 and clean.load(spark, inputs[0], objects_only=False)[1].count() == 3
     files = spark.createDataFrame([("b",), ("a",)], "f string")
     assert sorted((r.f, r.topic_idx) for r in clean.by_position(files, "f").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_construction_resumes(spark, tmp_path):
+    from kgspark.plans.construct import construct
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    class Counting(providers.Rules):
+        def mentions(self, text):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(text)
+            return super().mentions(text)
+
+    topics = spark.createDataFrame([("a", "Ada Byron met Charles. Ada Byron met Charles. Charles slept.")], "topic string, content string")
+    runs = [[sorted(map(tuple, t.select(sorted(set(t.columns) - {"attributes"})).collect())) for t in construct(topics, Counting(), stages=f"file://{tmp_path}/stages")] for _ in range(2)]
+    assert runs[0] == runs[1] and runs[0][1]
+    calls = [p.read_text() for p in log.iterdir()]
+    assert len([c for c in calls if c == "Charles slept."]) == 1
