@@ -183,7 +183,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """Encode doc_id and text of docs to Parquet files below path; returns path.
 
     A null text is empty and becomes the end id alone; rows without a doc_id come first; rows of
-    equal doc_id follow each other ordered by text. Other columns are not read.
+    equal doc_id follow each other in the order of a hash of their texts, then of the texts, so that a number of any
+    size is dealt over several tasks. Other columns are not read.
     """
 
     def encode(batches):
@@ -197,7 +198,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
                 first += int(at[-1])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     in_batches(rows, encode, SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
