@@ -330,3 +330,13 @@ def test_words_are_those_of_split():
     many = np.random.default_rng(1).integers(0, 2**63, 200_000).astype(np.uint64)
     first, _ = numbers.add(many)
     assert np.array_equal(numbers.find(many), first) and np.array_equal(numbers.keys[first], many)
+
+
+def test_mixture_of_network_and_counts():
+    from kgspark.llm import lm
+
+    words_, count = np.log(np.array([0.5, 1e-9, np.nan, 1e-3])), np.array([4, 0, 0, 1])
+    got = lm.mixed_scores(words_, count, 10, -7.0, 0.25)
+    want = [0.25 * 0.4 + 0.75 * 0.5, 0.75e-9, 0.75e-7, 0.25 * 0.1 + 0.75e-3]
+    assert np.allclose(got, np.log10(want))
+    assert np.isfinite(lm.mixed_scores(np.array([np.nan]), np.array([0]), 0, -1.0, 0.25)).all()
