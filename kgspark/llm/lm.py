@@ -91,7 +91,7 @@ def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first:
     s[first, :, :BLOCK] = -1e9
     np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
     a = np.exp(s, out=s)
-    a /= a.sum(2, keepdims=True)
+    a /= _dense(a, np.ones((2 * BLOCK, 1), np.float32))
     c = a @ both
     h = _dense(c, p["vo"])
     h += e
@@ -254,37 +254,43 @@ def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, firs
     used = used[np.argsort((t[used] // SIDE).astype(np.int16), kind="stable")]
     h, cls, within = s["out"].reshape(-1, WIDTH)[used], *np.divmod(t[used], SIDE)
     rows, cuts = np.arange(len(used)), np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
-    softmax = lambda z: (z := np.exp(z - z.max(1, keepdims=True))) / z.sum(1, keepdims=True)
-    zc = softmax(h @ p["c"] + p["cb"])
+
+    def softmax(z: np.ndarray) -> np.ndarray:
+        np.minimum(z, 60, out=z)
+        np.exp(z, out=z)
+        z /= z @ np.ones((z.shape[1], 1), np.float32) + np.float32(1e-30)
+        return z
+
+    share, each = np.float32(1 / max(1, len(rows))), np.ones(len(rows), np.float32)
     tokens = p["t"].reshape(SIDE, SIDE, WIDTH)
     spans = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
     zt = p["tb"].reshape(SIDE, SIDE)[cls]
     for c, i, j in spans:
         zt[i:j] += h[i:j] @ tokens[c].T
-    zt = softmax(zt)
+    zc, zt = softmax(h @ p["c"] + p["cb"]), softmax(zt)
     zc[rows, cls] -= 1
     zt[rows, within] -= 1
-    zc /= len(rows)
-    zt /= len(rows)
-    g = {"c": h.T @ zc, "cb": zc.sum(0)}
+    g = {"c": h.T @ zc * share, "cb": each @ zc * share}
     dh = zc @ p["c"].T
     gt, gb = np.zeros((SIDE, SIDE, WIDTH), np.float32), np.zeros((SIDE, SIDE), np.float32)
     for c, i, j in spans:
-        gt[c], gb[c] = zt[i:j].T @ h[i:j], zt[i:j].sum(0)
+        gt[c], gb[c] = zt[i:j].T @ h[i:j], each[i:j] @ zt[i:j]
         dh[i:j] += zt[i:j] @ tokens[c]
-    g |= {"t": gt.reshape(-1, WIDTH), "tb": gb.ravel()}
+    dh *= share
+    g |= {"t": gt.reshape(-1, WIDTH) * share, "tb": gb.ravel() * share}
     out = np.zeros((x.size, WIDTH), np.float32)
     out[used] = dh
     out = out.reshape(*x.shape, WIDTH)
     flat = lambda y: y.reshape(-1, y.shape[-1])
-    df = _dense(out, p["w2"].T) * (s["f"] > 0)
-    g |= {"w2": flat(s["f"]).T @ flat(out), "w1": flat(s["h"]).T @ flat(df), "b1": flat(df).sum(0)}
+    df = _dense(out, p["w2"].T)
+    df *= s["f"] > 0
+    g |= {"w2": flat(s["f"]).T @ flat(out), "w1": flat(s["h"]).T @ flat(df), "b1": np.ones(x.size, np.float32) @ flat(df)}
     dh = out + _dense(df, p["w1"].T)
     g["vo"] = flat(s["c"]).T @ flat(dh)
     dc, both, a = _dense(dh, p["vo"].T), s["both"], s["a"]
     dboth = a.transpose(0, 2, 1) @ dc
     ds = dc @ both.transpose(0, 2, 1)
-    ds -= (ds * a).sum(2, keepdims=True)
+    ds -= np.einsum("bij,bij->bi", dc, s["c"])[:, :, None]  # each row's mean under a, as c is a @ both
     ds *= a
     g["place"] = ds.sum(0)
     dboth += ds.transpose(0, 2, 1) @ s["q"]
