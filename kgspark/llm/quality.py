@@ -115,8 +115,9 @@ def context_sums(docs: DataFrame) -> np.ndarray:
 
 
 def word_vectors(contexts: np.ndarray) -> np.ndarray:
-    """Index and unit context vectors side by side."""
-    unit = contexts / np.maximum(np.linalg.norm(contexts, axis=1, keepdims=True), 1e-6)
+    """Index and unit context vectors side by side; logs of the sums, so that the commonest neighbours don't drown the others."""
+    logs = np.sign(contexts) * np.log1p(np.abs(contexts))
+    unit = logs / np.maximum(np.linalg.norm(logs, axis=1, keepdims=True), 1e-6)
     return np.concatenate([index_vectors() / np.sqrt(np.float32(PLACES)), unit.astype(np.float32)], 1)
 
 
