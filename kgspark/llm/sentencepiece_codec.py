@@ -172,7 +172,7 @@ def chunks(text: bytes, model: Model, normal=None) -> list[bytes]:
 class Codec:
     """Ids of whole texts, each distinct chunk encoded, compared and decoded once; up to keep chunks are kept."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         import sentencepiece
 
         self.model, self.tokenizer, self.keep, self.normal = parse(path), backend(path), keep, normaliser(path)
