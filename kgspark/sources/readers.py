@@ -13,10 +13,13 @@ from kgspark import providers
 from kgspark.functions.profiles import TOP_CATEGORIES
 from kgspark.functions.text import SPACE, canonical, topic_content
 
+#: For from_json, which by itself gives up on strings of more than 20 million characters; a graph encoded twice is one string.
+LONG = {"maxStringLen": str(2**31 - 1)}
+
 
 def topics(spark: SparkSession, path: str, start: int = 1) -> DataFrame:
     """file, topic_idx (from 1), topic, content of JSON arrays; start leaves out what comes before."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<struct<topic:string,content:string>>").alias("t"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<struct<topic:string,content:string>>", LONG).alias("t"))
     rows = files.select("file", F.posexplode("t").alias("at", "x")).select("file", (F.col("at") + 1).alias("topic_idx"), "x.topic", "x.content")
     return rows.where(F.col("topic_idx") >= start)
 
@@ -28,25 +31,26 @@ def direct_text(spark: SparkSession, topic: str, content: str) -> DataFrame:
 
 def extracted_topics(spark: SparkSession, path: str) -> DataFrame:
     """file, topic, content of JSON files with sentences that were extracted before; the topic is the file name up to its first point."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "sentences array<string>").alias("x"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "sentences array<string>", LONG).alias("x"))
     return files.select("file", F.split_part("file", F.lit("."), F.lit(1)).alias("topic"), topic_content(F.coalesce("x.sentences", F.array())).alias("content"))
 
 
 def graph_json(spark: SparkSession, path: str) -> DataFrame:
-    """file, kg (variant): once or twice encoded JSON; what can't be read is an empty graph."""
+    """file, kg (entities and relations, arrays of variants): once or twice encoded JSON; what can't be read is an empty graph."""
     return _graphs(spark.read.option("pathGlobFilter", "*.json").option("ignoreMissingFiles", "true").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
 
 
 def graph_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, kg (variant) of what write_graph_json wrote: a graph a line, each graph's name in its folder's."""
+    """file, kg of what write_graph_json wrote: a graph a line, each graph's name in its folder's."""
     return _graphs(spark.read.schema("value string, file string").text(path))
 
 
 def _graphs(files: DataFrame) -> DataFrame:
-    inner = F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"), 0)
-    twice = F.trim("value").startswith('"')
-    kg = F.try_parse_json(F.when(twice, inner).otherwise(F.col("value")))
-    return files.select("file", F.coalesce(kg, F.parse_json(F.lit('{"entities":[],"relations":[]}'))).alias("kg"))
+    """kg of the texts in value. Each entity and relation is a variant of its own, as a variant has 128 MB at most, which a whole graph may pass."""
+    inner = F.get(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>", LONG), 0)
+    once = files.select("file", F.when(F.trim("value").startswith('"'), inner).otherwise(F.col("value")).alias("value"))
+    kg = F.from_json("value", "entities array<variant>, relations array<variant>", LONG | {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    return once.select("file", F.when(F.col("value").rlike(r"^\s*\{"), kg).alias("kg"))  # of a list, from_json would take the first
 
 
 def relations(graphs: DataFrame, objects_only: bool = False) -> DataFrame:
@@ -54,7 +58,7 @@ def relations(graphs: DataFrame, objects_only: bool = False) -> DataFrame:
 
     objects_only leaves lists out, as the cleaning package does.
     """
-    r = graphs.select("file", F.posexplode(F.coalesce(F.try_variant_get("kg", "$.relations", "array<variant>"), F.array())).alias("ord", "r"))
+    r = graphs.select("file", F.posexplode(F.coalesce("kg.relations", F.array())).alias("ord", "r"))
     kind = F.schema_of_variant("r")
     r = r.where(kind.startswith("OBJECT") if objects_only else kind.startswith("OBJECT") | kind.startswith("ARRAY"))
     pick = lambda i, *names: F.coalesce(F.try_variant_get("r", f"$[{i}]", "string"), *[F.nullif(F.try_variant_get("r", f"$.{n}", "string"), F.lit("")) for n in names], F.lit(""))
@@ -63,7 +67,7 @@ def relations(graphs: DataFrame, objects_only: bool = False) -> DataFrame:
 
 def entities(graphs: DataFrame, objects_only: bool = False) -> DataFrame:
     """file, ord, name, type, description, attributes: texts or objects; objects_only leaves texts out. Missing attributes are null."""
-    e = graphs.select("file", F.posexplode(F.coalesce(F.try_variant_get("kg", "$.entities", "array<variant>"), F.array())).alias("ord", "e"))
+    e = graphs.select("file", F.posexplode(F.coalesce("kg.entities", F.array())).alias("ord", "e"))
     get = lambda n: F.try_variant_get("e", f"$.{n}", "string")
     plain = F.schema_of_variant("e") == "STRING"
     e = e.where(F.schema_of_variant("e").startswith("OBJECT")) if objects_only else e

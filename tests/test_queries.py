@@ -66,6 +66,22 @@ def test_graph_files(spark, tmp_path):
     assert sorted((r.head, r.relation, r.tail) for r in readers.relations(g).collect()) == [("x", "r", "y"), ("y", "p", "x")]
 
 
+def test_long_graph_files(spark, tmp_path):
+    """A graph of more than 20 million characters, encoded once and twice, and texts that are no graph."""
+    import json
+
+    graph = json.dumps({"entities": [{"name": f"{i}", "description": "x" * 1_000_000} for i in range(21)], "relations": [["a", "r", "b"]]})
+    (tmp_path / "a.json").write_text(graph)
+    (tmp_path / "b.json").write_text(json.dumps(graph))
+    for i, text in enumerate(["[" + graph[:10] + "]}]", "[]", "null", "3", "{'entities':['x']}", '"{broken"']):
+        (tmp_path / f"c{i}.json").write_text(text)
+    g = readers.graph_json(spark, str(tmp_path))
+    assert g.count() == 8
+    got = readers.entities(g).selectExpr("file", "name", "length(description) AS n").collect()
+    assert sorted((r.file, int(r.name), r.n) for r in got) == [(f, i, 1_000_000) for f in ("a.json", "b.json") for i in range(21)]
+    assert sorted((r.file, r["head"]) for r in readers.relations(g).collect()) == [("a.json", "a"), ("b.json", "a")]
+
+
 def test_construct(spark):
     from kgspark.plans.construct import construct
     from kgspark.providers import Rules
