@@ -1,4 +1,8 @@
-"""Names translated and linked to the concepts of a terminology, on tables."""
+"""Names translated and linked to the concepts of a terminology, on tables.
+
+A terminology's tables, and what comes of them, are larger than their files tell: joins with them are merge joins by a hint, as a
+broadcast goes by the files' size and takes the driver's memory.
+"""
 
 from __future__ import annotations
 
@@ -59,16 +63,18 @@ def by_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 def search(names: DataFrame, descriptions: DataFrame) -> DataFrame:
     """name, concept_id, fsn, term: for each name the first description (by ord) that holds all its words, in any case.
 
-    descriptions(ord, term, concept_id, fsn). A name meets only the descriptions that hold its rarest word. Names without a hit have no row.
+    descriptions(ord, term, concept_id, fsn). A name meets only the descriptions that hold its rarest word, and of those with the same
+    words the first. Names without a hit have no row.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda x: x != ""))
     q = names.select("name").distinct().withColumn("_w", words(F.col("name"))).where("size(_w) > 0")
-    d = descriptions.withColumn("_d", words(F.col("term"))).withColumn("_key", F.explode("_d"))
+    sets = descriptions.withColumn("_d", F.array_sort(words(F.col("term")))).groupBy("_d")
+    d = sets.agg(F.min_by(F.struct("concept_id", "fsn", "term"), "ord").alias("_x"), F.min("ord").alias("ord")).withColumn("_key", F.explode("_d"))
     known = d.groupBy("_key").agg(F.count("*").alias("_n"))
-    each = q.select("name", "_w", F.explode("_w").alias("_key")).join(known, "_key")
+    each = q.select("name", "_w", F.explode("_w").alias("_key")).join(known.hint("merge"), "_key")
     rarest = each.groupBy("name", "_w").agg(F.count("*").alias("_held"), F.min_by("_key", F.struct("_n", "_key")).alias("_key")).where(F.col("_held") == F.size("_w"))
-    both = rarest.join(d, "_key").where(F.size(F.array_except("_w", "_d")) == 0)
-    best = both.groupBy("name").agg(F.min_by(F.struct("concept_id", "fsn", "term"), "ord").alias("x"))
+    both = rarest.join(d.hint("merge"), "_key").where(F.size(F.array_except("_w", "_d")) == 0)
+    best = both.groupBy("name").agg(F.min_by("_x", "ord").alias("x"))
     return best.select("name", "x.*")
 
 
@@ -81,19 +87,19 @@ def aligned(entities: DataFrame, descriptions: DataFrame, is_a: DataFrame, tops:
     hit = staged(search(entities.select(_trim("entity_name_standard").alias("name")).where("name <> ''"), descriptions))
     up = ancestors(hit, is_a).join(tops.withColumnRenamed("concept_id", "ancestor"), "ancestor")
     top = up.groupBy("concept_id").agg(F.min_by("category", "ancestor").alias("category"))
-    found = hit.join(top, "concept_id", "left").select(F.col("name").alias("_name"), F.struct("concept_id", "fsn", "term").alias("align_entity"), last_tag(F.col("fsn")).alias("_tag"), F.coalesce("category", F.lit("")).alias("_category"))
-    both = entities.join(found, _trim("entity_name_standard") == F.col("_name"), "left")
+    found = hit.join(top.hint("merge"), "concept_id", "left").select(F.col("name").alias("_name"), F.struct("concept_id", "fsn", "term").alias("align_entity"), last_tag(F.col("fsn")).alias("_tag"), F.coalesce("category", F.lit("")).alias("_category"))
+    both = entities.join(found.hint("merge"), _trim("entity_name_standard") == F.col("_name"), "left")
     return both.withColumns({"align_entity_type": F.coalesce("_tag", F.lit("")), "top_level_category": F.coalesce("_category", F.lit(""))}).drop("_name", "_tag", "_category")
 
 
 def ancestors(concepts: DataFrame, is_a: DataFrame) -> DataFrame:
     """concept_id, ancestor: all ancestors of the concepts asked for, at any distance, over is_a(child, parent); cycles end by themselves."""
-    up = is_a.select(F.col("child").alias("_c"), F.col("parent").alias("ancestor"))
+    up = is_a.select(F.col("child").alias("_c"), F.col("parent").alias("ancestor")).hint("merge")
     step = concepts.select("concept_id").where("concept_id is not null").distinct().join(up, F.col("concept_id") == F.col("_c")).select("concept_id", "ancestor")
     found = step = staged(step.where("ancestor is not null").distinct())
     while not step.isEmpty():
         on = step.withColumnRenamed("ancestor", "_c").join(up, "_c").select("concept_id", "ancestor").where("ancestor is not null").distinct()
-        step = staged(on.join(found, ["concept_id", "ancestor"], "left_anti"))
+        step = staged(on.join(found.hint("merge"), ["concept_id", "ancestor"], "left_anti"))
         found = staged(found.unionByName(step))
     return found
 

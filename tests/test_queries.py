@@ -148,3 +148,23 @@ def test_trace_and_categories(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "top"), ("top", "b"), ("c", "d")], "child string, parent string")
     tops = spark.createDataFrame([("top",)], "ancestor string")
     assert {r.child: r.top for r in top_category(edges, tops).collect()} == {"a": "top", "b": "top", "top": "top", "c": None}
+
+
+def test_search_without_broadcast(spark):
+    """Descriptions are never sent around whole, however small their file; of those with the same words the first is found."""
+    from pyspark.sql import functions as F
+
+    from kgspark.operators import linking
+
+    p = spark.read.parquet(f"{SF}/part.parquet")
+    d = p.select(F.col("p_partkey").alias("ord"), F.concat_ws(" ", F.lit("Old"), "p_name", F.col("p_partkey") % 3).alias("term"), F.col("p_partkey").alias("concept_id"), F.lit("x (y)").alias("fsn"))
+    names = p.select(F.concat_ws(" ", F.col("p_partkey") % 4, F.upper("p_name")).alias("name"))
+    out = linking.search(names, d)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    rows, want = d.collect(), {}
+    for name in {r.name for r in names.collect()}:
+        hits = [r.ord for r in rows if set(name.lower().split()) <= set(r.term.lower().split())]
+        if hits:
+            want[name] = min(hits)
+    got = out.collect()
+    assert {r.name: r.concept_id for r in got} == want and len(got) == len(want) > 0
