@@ -32,8 +32,12 @@ ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
 SHARE = 0.1
 #: Bytes of text whose words share one dictionary.
 CHUNK = 6 << 20
-#: Distinct words whose ids a worker keeps, and words of chunks that meet in one bucket.
-KEEP, WORDS_MET = 1_000_000, 1_000_000
+#: Distinct words whose ids a worker keeps, words of chunks that meet in one bucket, and words of texts scored at a time.
+KEEP, WORDS_MET, WORDS_SCORED = 500_000, 1_000_000, 100_000
+#: Chunks are rows of several MB: as a row group each, executors write and read them one by one, and a round skips the others' chunks.
+CHUNK_FILES = {"compression": "zstd", "parquet.block.row.count.limit": 1}
+#: Counts are rows of a few kB to some 100 kB; by itself Parquet's writer first looks at its memory after 100 of them, and a reader takes whole row groups.
+COUNT_FILES = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 10, "parquet.page.size.row.check.max": 100}
 
 
 @dataclass
@@ -345,15 +349,26 @@ def subword_counts(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _texts(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The subword ids of a chunk's texts in a row, and how many each text has."""
+def _texts(b: pa.RecordBatch, k: int, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The subword ids of a chunk's texts from start to stop in a row, and how many each text has."""
     at, ids, lengths = (np.frombuffer(b.column(c)[k].as_py(), "<i4") for c in ("places", "ids", "lengths"))
+    cuts = np.concatenate([[0], np.cumsum(b.column("n")[k].values.to_numpy())])[start : None if stop is None else stop + 1]
+    at = at[cuts[0] : cuts[-1]]
     each = lengths[at]
-    ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-    n = np.diff(ends[np.concatenate([[0], np.cumsum(b.column("n")[k].values.to_numpy())])])
+    n = np.diff(np.concatenate([[0], np.cumsum(each, dtype=np.int64)])[cuts - cuts[0]])
     return words.take_ragged(ids, (np.cumsum(lengths) - lengths)[at], each), n
 
 
+def spans(n: np.ndarray, at_most: int) -> list[tuple[int, int]]:
+    """Texts of n words each in spans of at_most words, one text at least, from and to."""
+    out, ends, start = [], np.cumsum(n), 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(ends, at_most + (ends[start - 1] if start else 0), "right")))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 def refine(parts: DataFrame, net: Network) -> Network:
     """Train on every training text: in each round the round's chunks go on from the same network, and their networks' mean,
     weighted by blocks, is the next. So texts and steps grow with the input and nothing but sums of parameters moves.
@@ -502,35 +517,50 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     back: neither the vocabulary nor the texts come together in one place. A null text is empty. Words are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long"), (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string"))
-    parts = staged(_tokenized(rows, tokenizer_path), compression="zstd")
-    size = parts.agg(F.sum(F.length("hashes") / 8).alias("words"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("ends")).first()
+    parts = staged(_tokenized(rows, tokenizer_path), **CHUNK_FILES)
+    size = parts.agg(F.count("*").alias("chunks"), F.sum(F.length("hashes") / 8).alias("words"), F.sum(F.size(F.filter("held_out", lambda x: ~x))).alias("ends")).first()
     ends, buckets = size.ends or 0, max(16, int((size.words or 0) // WORDS_MET) + 1)
-    counted = staged(corpus_counts(parts, buckets))
+    counted = staged(corpus_counts(parts, buckets), **COUNT_FILES)
     count = subword_counts(parts, len(word_encoder(tokenizer_path, KEEP).ends))
     n, v = training_words(parts) + ends, (counted.agg(F.sum("distinct")).first()[0] or 0) + (1 if ends else 0)
     net = learn(rows.where(~F.col("held_out")), tokenizer_path, count, ends)
     sent = docs.sparkSession.sparkContext.broadcast(refine(parts, net))
-    back = counted.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals"))
-    both = parts.select("chunk", "doc_id", "held_out", "n", "places", "ids", "lengths").join(back, "chunk", "left")
+    own = parts.select("chunk", F.lit(-1).alias("bucket"), "doc_id", "held_out", "n", "places", "ids", "lengths")
+    both = own.unionByName(counted.drop("distinct"), allowMissingColumns=True)  # a chunk's row, then its counts, one after the other
+    both = both.repartition(size.chunks // 2 + 1, "chunk").sortWithinPartitions("chunk", "bucket")
     lowest = np.log10(n + v + 1.0)
 
-    def sums(batches):
+    def scored(b, totals):
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        ids, held, own = (b.column(c)[0].values for c in ("doc_id", "held_out", "n"))
+        count = np.append(np.frombuffer(b"".join(totals), "<i8"), ends)
+        places, lengths = (np.frombuffer(b.column(c)[0].as_py(), "<i4") for c in ("places", "lengths"))
+        cuts = np.concatenate([[0], np.cumsum(own.to_numpy())])
+        for i, j in spans(np.diff(cuts), WORDS_SCORED):  # a text's score is its own, so this only bounds the memory
+            m, place = np.diff(cuts[i : j + 1]), places[cuts[i] : cuts[j]]
+            at = np.insert(place, np.cumsum(m), len(count) - 1)
+            last = np.cumsum(m + 1)
+            per_text = lambda x, last=last: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], last])])
+            base = per_text(np.log10(count + 1.0)[at] - lowest)
+            each = lengths[place]
+            by_id, by_end = id_scores(sent.value, *_texts(b, 0, i, j))
+            net = np.diff(np.concatenate([[0], np.cumsum(by_id)])[np.concatenate([[0], np.cumsum(each, dtype=np.int64)])])
+            net[each == 0] = np.nan
+            score = pa.array(per_text(mixed_scores(np.insert(net, np.cumsum(m), by_end), count[at], n, -lowest)))
+            yield pa.RecordBatch.from_arrays([ids[i:j], held[i:j], pa.array(m + 1), pa.array(per_text(count[at] > 0), pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
+        release()
+
+    def sums(batches):
+        chunk, totals = None, []
         for b in batches:
-            for k in range(b.num_rows):
-                ids, held, own = (b.column(c)[k].values for c in ("doc_id", "held_out", "n"))
-                pieces = sorted((x["bucket"], x["totals"]) for x in b.column("totals")[k].as_py() or [])
-                count = np.append(np.frombuffer(b"".join(x for _, x in pieces), "<i8"), ends)
-                m, place = own.to_numpy(), np.frombuffer(b.column("places")[k].as_py(), "<i4")
-                at = np.insert(place, np.cumsum(m), len(count) - 1)
-                last = np.cumsum(m + 1)
-                per_text = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], last])])
-                base = per_text(np.log10(count + 1.0)[at] - lowest)
-                each = np.frombuffer(b.column("lengths")[k].as_py(), "<i4")[place]
-                by_id, by_end = id_scores(sent.value, *_texts(b, k))
-                net = np.diff(np.concatenate([[0], np.cumsum(by_id)])[np.concatenate([[0], np.cumsum(each, dtype=np.int64)])])
-                net[each == 0] = np.nan
-                score = pa.array(per_text(mixed_scores(np.insert(net, np.cumsum(m), by_end), count[at], n, -lowest)))
-                yield pa.RecordBatch.from_arrays([ids, held, pa.array(m + 1), pa.array(per_text(count[at] > 0), pa.int64()), pa.array(np.full(len(m), n)), pa.array(base), score], names)
+            for k, bucket in enumerate(b.column("bucket").to_pylist()):
+                if bucket >= 0:
+                    totals.append(b.column("totals")[k].as_py())
+                    continue
+                if chunk:
+                    yield from scored(chunk, totals)
+                chunk, totals = b.slice(k, 1), []
+        if chunk:
+            yield from scored(chunk, totals)
 
     return in_batches(both, sums, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -362,3 +362,29 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns[:2] == ["doc_id", "source"]
     assert Counter((r.doc_id, r.source, r.n_pieces, r.ids_crc32, r.parity) for r in out.collect()) == want and all(k[4] for k in want)
+
+
+def test_chunks_are_written_one_by_one_and_meet_their_counts_in_a_stream(spark, docs, tmp_path):
+    """A task's memory holds a chunk, however many it has: no row groups of many chunks, no aggregate or join that gathers them."""
+    import pyarrow.parquet as pq
+
+    out = lm.score_documents(docs, WORD)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Aggregate", "Join"))
+    rows = spark.range(0, 12, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("x"))
+    rows.write.options(**lm.CHUNK_FILES).parquet(f"{tmp_path}/chunks")
+    assert [pq.ParquetFile(f).num_row_groups for f in (tmp_path / "chunks").glob("*.parquet")] == [12]
+    rows.withColumn("x", F.repeat("x", 1000)).withColumn("x", F.concat("x", "id")).write.options(**lm.COUNT_FILES, compression="none").parquet(f"{tmp_path}/counts")
+    assert [pq.ParquetFile(f).num_row_groups for f in (tmp_path / "counts").glob("*.parquet")] == [2]
+
+
+def test_spans_of_texts(docs):
+    assert lm.spans(np.array([3, 0, 2, 9, 1, 1]), 5) == [(0, 3), (3, 4), (4, 6)]
+    assert lm.spans(np.zeros(0, np.int64), 5) == []
+    parts = lm._tokenized(docs.select("doc_id", F.lit(False).alias("held_out"), "text"), WORD)
+    (b,) = parts.toArrow().combine_chunks().to_batches()
+    for k in range(b.num_rows):
+        ids, n = lm._texts(b, k)
+        some = [lm._texts(b, k, i, j) for i, j in lm.spans(b.column("n")[k].values.to_numpy(), 50)]
+        assert len(some) > 1
+        assert np.array_equal(np.concatenate([x for x, _ in some]), ids) and np.array_equal(np.concatenate([m for _, m in some]), n)
