@@ -341,6 +341,7 @@ def subword_counts(parts: DataFrame, size: int) -> np.ndarray:
                 total += np.bincount(ids, np.repeat(each, lengths), size).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
+        release()
 
     sums = parts.select("counts", "ids", "lengths").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c"))
     out = np.zeros(size, np.int64)
@@ -395,6 +396,7 @@ def refine(parts: DataFrame, net: Network) -> Network:
                     total += len(x) * joined(p).astype(np.float64)
                     weight += len(x)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight], pa.int64())], ["p", "w"])
+            release()
 
         def add(batches):
             total, weight = 0, 0
@@ -502,6 +504,8 @@ def corpus_counts(parts: DataFrame, buckets: int) -> DataFrame:
                 held.append(row)
         if held:
             yield totals()
+        held = []
+        release()
 
     dealt = parts.select("chunk", "hashes", "counts").mapInArrow(deal, "chunk string, bucket int, h binary, c binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "chunk string, bucket int, totals binary, distinct long")
@@ -551,6 +555,7 @@ def score_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         release()
 
     def sums(batches):
+        release()  # of earlier stages
         chunk, totals = None, []
         for b in batches:
             for k, bucket in enumerate(b.column("bucket").to_pylist()):
