@@ -10,6 +10,7 @@ over all training texts.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,6 +29,8 @@ BLOCK, WIDTH, HIDDEN, SIDE, STEPS, BATCH, SEED = 16, 16, 32, 40, 800, 256, 3
 TRAIN_ROWS, START_BYTES = 1200, 65536
 #: Rounds over the chunks, each training on its share of them, and the learning rates of the start and of a round.
 ROUNDS, RATE, ROUND_RATE = 4, 0.01, 0.003
+#: Rows of a product of matrices: those of a whole step at once take half as long again.
+ROWS = 256
 #: Share of the corpus's word counts in the score's mixture; the network has the rest.
 SHARE = 0.1
 #: Bytes of text whose words share one dictionary.
@@ -78,31 +81,70 @@ _CAUSAL = np.concatenate([np.zeros((BLOCK, BLOCK), np.float32), np.triu(np.full(
 
 
 def _dense(a: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """a @ w as one product of two matrices; numpy would make one for each block."""
-    return (a.reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], -1)
+    """a @ w as products of ROWS rows; numpy would make one for each block, or one for all, and both take longer."""
+    rows, w = a.reshape(-1, a.shape[-1]), np.ascontiguousarray(w)
+    out, whole = np.empty((len(rows), w.shape[1]), np.result_type(a, w)), len(rows) // ROWS * ROWS
+    np.matmul(rows[:whole].reshape(-1, ROWS, rows.shape[1]), w, out=out[:whole].reshape(-1, ROWS, w.shape[1]))
+    np.matmul(rows[whole:], w, out=out[whole:])
+    return out.reshape(*a.shape[:-1], w.shape[1])
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b over all rows of both, as a sum of products of ROWS rows."""
+    a, b = a.reshape(-1, a.shape[-1]), b.reshape(-1, b.shape[-1])
+    whole = len(a) // ROWS * ROWS
+    out = (a[:whole].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, ROWS, b.shape[1])).sum(0)
+    out += a[whole:].T @ b[whole:]
+    return out
+
+
+def _exps(scores: Callable[[], np.ndarray], total: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores, of rows by the last axis, and total of that, a sum for each row; minus the row's maximum only where a sum is out of range."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = scores()
+        np.exp(e, out=e)
+        sums = total(e)
+        if sums.size and not (sums.min() > 1e-30 and sums.max() < 1e30):
+            e = scores()
+            e -= e.max(-1, keepdims=True)
+            np.exp(e, out=e)
+            sums = total(e)
+    return e, sums
 
 
 def _hidden(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
     """All values on the way to the hidden states of the blocks x, for training; before: the block before each.
 
     One head as wide as the embedding needs one matrix from queries to keys (qk) and one from values to outputs (vo).
+    The attention a is a row's exps, whose shares are a times each.
     """
-    both = p["e"].take(np.concatenate([before, x], 1), 0)
-    e = both[:, BLOCK:]
-    q = _dense(e, p["qk"] * np.float32(WIDTH**-0.5))
-    s = q @ both.transpose(0, 2, 1)
-    s += p["place"] + _CAUSAL
-    s[first, :, :BLOCK] = -1e9
-    np.minimum(s, 60, out=s)  # instead of the row's maximum: keeps exp finite
-    a = np.exp(s, out=s)
-    a /= _dense(a, np.ones((2 * BLOCK, 1), np.float32))
+    both, e, q = p["e"].take(np.concatenate([before, x], 1), 0), p["e"].take(x, 0), (p["e"] @ (p["qk"] * np.float32(WIDTH**-0.5))).take(x, 0)
+    mask, ones = p["place"] + _CAUSAL, np.ones(2 * BLOCK, np.float32)
+
+    def scores():
+        s = q @ both.transpose(0, 2, 1)
+        s += mask
+        s[first, :, :BLOCK] = -1e9
+        return s
+
+    a, each = _exps(scores, lambda s: (s.reshape(-1, 2 * BLOCK) @ ones).reshape(*s.shape[:2], 1))
+    each = 1 / each
     c = a @ both
+    c *= each
     h = _dense(c, p["vo"])
     h += e
     f = _dense(h, p["w1"])
-    f += p["b1"]
+    block = f.reshape(len(f), -1)
+    block += np.tile(p["b1"], BLOCK)
     np.maximum(f, 0, out=f)
-    return {"both": both, "q": q, "a": a, "c": c, "h": h, "f": f, "out": _dense(f, p["w2"]) + h}
+    out = _dense(f, p["w2"])
+    out += h
+    return {"both": both, "e": e, "q": q, "a": a, "each": each, "c": c, "h": h, "f": f, "out": out}
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """Each block after the first, behind the block before it, as a view of blocks that follow each other."""
+    return np.ndarray((len(x) - 1, 2 * BLOCK, x.shape[2]), x.dtype, x, 0, x.strides)
 
 
 def _states(net: Network):
@@ -112,20 +154,24 @@ def _states(net: Network):
     """
     p = net.p
     e, q, v = p["e"], p["e"] @ (p["qk"] * np.float32(WIDTH**-0.5)), p["e"] @ p["vo"]
-    mask, ones = p["place"] + _CAUSAL, np.ones((2 * BLOCK, 1), np.float32)
+    mask, ones, bias = p["place"] + _CAUSAL, np.ones(2 * BLOCK, np.float32), np.tile(p["b1"], BLOCK)
 
     def states(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        ex, vx = e.take(x, 0), v.take(x, 0)
-        s = q.take(x[1:], 0) @ np.concatenate([ex[:-1], ex[1:]], 1).transpose(0, 2, 1)
-        s += mask
-        s[first, :, :BLOCK] = -1e9
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        h = s @ np.concatenate([vx[:-1], vx[1:]], 1)
-        h /= _dense(s, ones)
+        ex, vx, own = e.take(x, 0), v.take(x, 0), q.take(x[1:], 0)
+
+        def scores():
+            s = own @ _windows(ex).transpose(0, 2, 1)
+            s += mask
+            s[first, :, :BLOCK] = -1e9
+            return s
+
+        s, total = _exps(scores, lambda s: (s.reshape(-1, 2 * BLOCK) @ ones).reshape(*s.shape[:2], 1))
+        h = s @ _windows(vx)
+        h /= total
         h += ex[1:]
         f = _dense(h, p["w1"])
-        f += p["b1"]
+        block = f.reshape(len(f), -1)
+        block += bias
         np.maximum(f, 0, out=f)
         h += _dense(f, p["w2"])
         return h.reshape(-1, WIDTH)
@@ -133,45 +179,54 @@ def _states(net: Network):
     return states
 
 
-def _log_total(z: np.ndarray) -> np.ndarray:
-    """Log of the sum of exp of each row; minus its maximum only where a sum is out of range."""
-    with np.errstate(over="ignore", divide="ignore"):
-        total = np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))
-    if np.isfinite(total).all():
-        return total
-    top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
-
-
-def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int = 4096, blocks: int = 32) -> np.ndarray:
+def log_probabilities(net: Network, own: np.ndarray, n: np.ndarray, at_once: int = 4096, blocks: int = 128) -> np.ndarray:
     """Natural log probability of each id, in order; an other id's share is spread over all of them.
 
     Attention runs over a few blocks at a time, which stay in the processor's cache, the softmax over the
-    targets of at_once blocks, sorted by class.
+    targets of at_once blocks, sorted by class. Both of its levels are one product: a class's scores are beside those of its tokens.
+    The biases' exps are weights of the sums of exps, minus the scores' maximum only in rows where a sum is out of range.
     """
     p, states = net.p, _states(net)
     x, target, first = _blocks(own, n)
     out = np.zeros(target.size, np.float64)
     x = np.concatenate([x[:1], x])
     tokens, bias = p["t"].reshape(SIDE, SIDE, WIDTH), p["tb"].reshape(SIDE, SIDE)
+    levels, weights = [np.concatenate([p["c"], t.T], 1) for t in tokens], np.zeros((SIDE, 2 * SIDE, 2), p["c"].dtype)
+    weights[:, :SIDE, 0], weights[:, SIDE:, 1] = np.exp(p["cb"]), np.exp(bias)
+    added = (p["cb"][:, None] + bias).ravel()
     for at in range(0, len(first), at_once):
         part = first[at : at + at_once]
         h = np.concatenate([states(x[at + i : at + i + blocks + 1][: len(part) - i + 1], part[i : i + blocks]) for i in range(0, len(part), blocks)])
         t = target[at : at + at_once].ravel()
         used = np.flatnonzero(t >= 0)
-        used = used.take(np.argsort((t[used] // SIDE).astype(np.int16), kind="stable"))
-        h, (cls, within) = h.take(used, 0), np.divmod(t[used], np.int32(SIDE))
+        cls = t.take(used) // SIDE
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        used, cls = used.take(order), cls.take(order)
+        t = t.take(used)
+        h, within = h.take(used, 0), t - cls * SIDE + SIDE
         cuts = np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
-        lp = np.empty(len(used), np.float32)
+        lp, totals = added.take(t), np.empty((len(used), 2), p["c"].dtype)
         for c, (i, j) in enumerate(zip(cuts, cuts[1:])):
-            for u in range(i, j, 2048):
-                w = min(u + 2048, j)
-                z, y = h[u:w] @ p["c"], h[u:w] @ tokens[c].T
-                z += p["cb"]
-                y += bias[c]
-                lp[u:w] = z[:, c] + y[np.arange(w - u), within[u:w]] - _log_total(z) - _log_total(y)
+            for u in range(i, j, 2 * ROWS):
+                w = min(u + 2 * ROWS, j)
+                z = h[u:w] @ levels[c]
+                lp[u:w] += z[:, c]
+                lp[u:w] += z[np.arange(w - u), within[u:w]]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    np.exp(z, out=z)
+                    np.matmul(z, weights[c], out=totals[u:w])
+        odd = np.flatnonzero(~((totals > 1e-30) & (totals < 1e30)).all(1))
+        for c in np.unique(cls.take(odd)):
+            rows = odd[cls.take(odd) == c]
+            z = h.take(rows, 0) @ levels[c]
+            top = z.reshape(-1, 2, SIDE).max(2)
+            lp[rows] -= top.sum(1)
+            totals[rows] = np.exp(z - np.repeat(top, SIDE, 1)) @ weights[c]
+        np.log(totals, out=totals)
+        lp -= totals[:, 0]
+        lp -= totals[:, 1]
         lp = lp.astype(np.float64)
-        lp[t[used] == 0] -= np.log(net.others)
+        lp[t == 0] -= np.log(net.others)
         out[at * BLOCK + used] = lp
     return out[target.ravel() >= 0]
 
@@ -231,81 +286,121 @@ def fit(ids: np.ndarray, n: np.ndarray, size: int, steps: int = STEPS, count: np
 
 
 def _train(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, target: np.ndarray, picks: list[np.ndarray], top: float) -> None:
-    """One step of Adam on p, in place, for each of picks, the places of its blocks; the rate rises to top and falls."""
-    before = np.roll(x, 1, 0)
-    m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
+    """One step of Adam on p, in place, for each of picks, the places of its blocks; the rate rises to top and falls.
+
+    All parameters are parts of one array, which a step goes over in place.
+    """
+    before, names = np.roll(x, 1, 0), list(p)
+    every = np.concatenate([p[k].ravel() for k in names])
+    own = {k: part.reshape(p[k].shape) for k, part in zip(names, np.split(every, np.cumsum([p[k].size for k in names])[:-1]))}
+    m1, m2, g, by = (np.zeros_like(every) for _ in range(4))
     for step, pick in enumerate(picks, 1):
-        g = _gradients(p, x[pick], before[pick], first[pick], target[pick])
+        of = _gradients(own, x.take(pick, 0), before.take(pick, 0), first.take(pick), target.take(pick, 0))
+        np.concatenate([of[k].ravel() for k in names], out=g)
         rate = top * min(1, step / min(30, 1 + len(picks) // 4)) * (1 - 0.95 * step / len(picks))
-        for k, v in p.items():
-            m1[k] += 0.1 * (g[k] - m1[k])
-            m2[k] += 0.01 * (g[k] ** 2 - m2[k])
-            v -= (rate / (1 - 0.9**step) * m1[k] / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        np.multiply(g, g, out=by)
+        by *= 0.01
+        m2 *= 0.99
+        m2 += by
+        g *= 0.1
+        m1 *= 0.9
+        m1 += g
+        np.sqrt(m2, out=by)
+        by *= (1 - 0.99**step) ** -0.5
+        by += 1e-7
+        np.divide(m1, by, out=by)
+        by *= rate / (1 - 0.9**step)
+        every -= by
+    for k in names:
+        p[k][...] = own[k]
 
 
 def _summed(places: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
     """Add rows to out at places, which may repeat."""
-    order = np.argsort(places.astype(np.int16), kind="stable")
-    sorted_places = places[order]
-    starts = np.flatnonzero(np.r_[True, sorted_places[1:] != sorted_places[:-1]])
-    out[sorted_places[starts]] += np.add.reduceat(rows[order], starts, 0)
+    places = places.astype(np.int16)
+    order = np.argsort(places, kind="stable")
+    places = places.take(order)
+    starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+    pairs = np.result_type(rows, np.complex64)  # two numbers as a complex one are added at once
+    out[places.take(starts)] += np.add.reduceat(rows.take(order, 0).view(pairs), starts, 0).view(rows.dtype)
 
 
 def _gradients(p: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray, first: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean loss of the targets, by each parameter.
+
+    A softmax is its rows' exps without the biases (zc, zt), whose exps are weights (wc, wt), over the rows' totals: what weights and
+    totals would do to all of a row's numbers they do to its few inputs or to the sums. A target's exp is less by what it is to be.
+    """
     s = _hidden(p, x, before, first)
     t = target.ravel()
     used = np.flatnonzero(t >= 0)
-    used = used[np.argsort((t[used] // SIDE).astype(np.int16), kind="stable")]
-    h, cls, within = s["out"].reshape(-1, WIDTH)[used], *np.divmod(t[used], SIDE)
+    cls = t.take(used) // SIDE
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    used, cls = used.take(order), cls.take(order)
+    t = t.take(used)
+    h, within = s["out"].reshape(-1, WIDTH).take(used, 0), t - cls * SIDE
     rows, cuts = np.arange(len(used)), np.searchsorted(cls, np.arange(SIDE + 1)).tolist()
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        np.minimum(z, 60, out=z)
-        np.exp(z, out=z)
-        z /= z @ np.ones((z.shape[1], 1), np.float32) + np.float32(1e-30)
+    share = h.dtype.type(1 / max(1, len(rows)))
+    tokens, wc, wt = p["t"].reshape(SIDE, SIDE, WIDTH), np.exp(p["cb"]), np.exp(p["tb"]).reshape(SIDE, SIDE)
+    spans = [(c, slice(k, min(k + 2 * ROWS, j))) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) for k in range(i, j, 2 * ROWS)]
+    across = tokens.transpose(0, 2, 1).copy()
+
+    def of_tokens():
+        z = np.empty((len(rows), SIDE), h.dtype)
+        for c, i in spans:
+            np.matmul(h[i], across[c], out=z[i])
         return z
 
-    share, each = np.float32(1 / max(1, len(rows))), np.ones(len(rows), np.float32)
-    tokens = p["t"].reshape(SIDE, SIDE, WIDTH)
-    spans = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-    zt = p["tb"].reshape(SIDE, SIDE)[cls]
-    for c, i, j in spans:
-        zt[i:j] += h[i:j] @ tokens[c].T
-    zc, zt = softmax(h @ p["c"] + p["cb"]), softmax(zt)
-    zc[rows, cls] -= 1
-    zt[rows, within] -= 1
-    g = {"c": h.T @ zc * share, "cb": each @ zc * share}
-    dh = zc @ p["c"].T
-    gt, gb = np.zeros((SIDE, SIDE, WIDTH), np.float32), np.zeros((SIDE, SIDE), np.float32)
-    for c, i, j in spans:
-        gt[c], gb[c] = zt[i:j].T @ h[i:j], each[i:j] @ zt[i:j]
-        dh[i:j] += zt[i:j] @ tokens[c]
-    dh *= share
-    g |= {"t": gt.reshape(-1, WIDTH) * share, "tb": gb.ravel() * share}
-    out = np.zeros((x.size, WIDTH), np.float32)
+    def totals(z):
+        out = np.empty(len(rows), z.dtype)
+        for c, i in spans:
+            np.matmul(z[i], wt[c], out=out[i])
+        return out
+
+    zc, total = _exps(lambda: _dense(h, p["c"]), lambda z: z @ wc)
+    zc[rows, cls] -= total / wc.take(cls)
+    each = (share / total)[:, None]
+    g = {"c": _product(h * each, zc) * wc, "cb": each[:, 0] @ zc * wc}
+    dh = _dense(zc, (p["c"] * wc).T)
+    dh *= each
+    zt, total = _exps(of_tokens, totals)
+    zt[rows, within] -= total / wt.ravel().take(t)
+    each = share / total
+    scaled, part, weighted = h * each[:, None], np.empty_like(h), tokens * wt[:, :, None]
+    gt, gb = np.zeros((SIDE, SIDE, WIDTH), h.dtype), np.zeros((SIDE, SIDE), h.dtype)
+    for c, i in spans:
+        z = zt[i]
+        gt[c] += z.T @ scaled[i]
+        gb[c] += each[i] @ z
+        np.matmul(z, weighted[c], out=part[i])
+    part *= each[:, None]
+    dh += part
+    gt *= wt[:, :, None]
+    gb *= wt
+    g |= {"t": gt.reshape(-1, WIDTH), "tb": gb.ravel()}
+    out = np.zeros((x.size, WIDTH), h.dtype)
     out[used] = dh
     out = out.reshape(*x.shape, WIDTH)
-    flat = lambda y: y.reshape(-1, y.shape[-1])
     df = _dense(out, p["w2"].T)
     df *= s["f"] > 0
-    g |= {"w2": flat(s["f"]).T @ flat(out), "w1": flat(s["h"]).T @ flat(df), "b1": np.ones(x.size, np.float32) @ flat(df)}
-    dh = out + _dense(df, p["w1"].T)
-    g["vo"] = flat(s["c"]).T @ flat(dh)
-    dc, both, a = _dense(dh, p["vo"].T), s["both"], s["a"]
+    g |= {"w2": _product(s["f"], out), "w1": _product(s["h"], df), "b1": np.ones(x.size, np.float32) @ df.reshape(-1, HIDDEN)}
+    out += _dense(df, p["w1"].T)
+    g["vo"] = _product(s["c"], out)
+    dc, both, a = _dense(out, p["vo"].T), s["both"], s["a"]
+    dc *= s["each"]
     dboth = a.transpose(0, 2, 1) @ dc
     ds = dc @ both.transpose(0, 2, 1)
-    ds -= np.einsum("bij,bij->bi", dc, s["c"])[:, :, None]  # each row's mean under a, as c is a @ both
+    ds -= np.einsum("bij,bij->bi", dc, s["c"])[:, :, None]  # each row's mean under its shares, as c is their product with both
     ds *= a
     g["place"] = ds.sum(0)
     dboth += ds.transpose(0, 2, 1) @ s["q"]
     dq = ds @ both
     dq *= np.float32(WIDTH**-0.5)
-    g["qk"] = flat(both[:, BLOCK:]).T @ flat(dq)
-    own = dboth[:, BLOCK:]
-    own += dh
-    own += _dense(dq, p["qk"].T)
+    g["qk"] = _product(s["e"], dq)
+    out += _dense(dq, p["qk"].T)
+    dboth[:, BLOCK:] += out
     ge = np.zeros_like(p["e"])
-    _summed(np.concatenate([before, x], 1).ravel(), flat(dboth), ge)
+    _summed(np.concatenate([before, x], 1).ravel(), dboth.reshape(-1, WIDTH), ge)
     return g | {"e": ge}
 
 

@@ -305,6 +305,41 @@ def test_attention_is_causal_and_gradients_hold():
             assert abs((up - down) / (2 * step) - g[k][at]) < 0.03 * abs(g[k][at]) + 2e-5, (k, at)
 
 
+def test_gradients_and_scores_hold_where_exps_are_out_of_range():
+    """In float32, with scores of attention, classes and tokens far beyond what exp can hold, as in float64 by rows minus their maximum."""
+    rng = np.random.default_rng(4)
+    ids, n = rng.integers(0, 50, 6000).astype(np.int32), np.array([2500, 3500])
+    net = lm.fit(ids, n, 60, steps=2)
+    own = np.insert(net.to_own[ids], np.cumsum(n), lm.SIDE**2 - 1)
+    x, t, first = lm._blocks(own, n + 1)
+    for name, times in (("qk", 300), ("c", 300), ("t", 2000)):
+        p = net.p | {name: net.p[name] * np.float32(times)}
+        wide = {k: v.astype(np.float64) for k, v in p.items()}
+        got, want = (lm._gradients(q, x, np.roll(x, 1, 0), first, t) for q in (p, wide))
+        for k in p:
+            assert np.abs(got[k].reshape(-1) - want[k].reshape(-1)).max() < 2e-2 * np.abs(want[k]).max() + 1e-6, (name, k)
+        e, both = wide["e"][x], wide["e"][np.concatenate([np.roll(x, 1, 0), x], 1)]
+        a = e @ wide["qk"] @ both.transpose(0, 2, 1) / np.sqrt(lm.WIDTH) + wide["place"] + lm._CAUSAL
+        a[first, :, : lm.BLOCK] = -1e9
+        a = np.exp(a - a.max(2)[:, :, None])
+        h = e + a / a.sum(2)[:, :, None] @ both @ wide["vo"]
+        h = h + np.maximum(h @ wide["w1"] + wide["b1"], 0) @ wide["w2"]
+        used = t.ravel() >= 0
+        h, (c, k) = h.reshape(-1, lm.WIDTH)[used], np.divmod(t.ravel()[used], lm.SIDE)
+        logsoft = lambda z: z - np.log(np.exp(z - z.max(1)[:, None]).sum(1))[:, None] - z.max(1)[:, None]
+        rows, tokens = np.arange(len(h)), wide["t"].reshape(lm.SIDE, lm.SIDE, -1)
+        plain = logsoft(h @ wide["c"] + wide["cb"])[rows, c] + logsoft(np.einsum("nw,nkw->nk", h, tokens[c]) + wide["tb"].reshape(lm.SIDE, -1)[c])[rows, k]
+        assert np.allclose(lm.log_probabilities(lm.Network(p, net.to_own, 1), own, n + 1), plain, rtol=1e-3, atol=5e-2), name
+
+
+def test_products_by_rows_are_those_of_whole_matrices():
+    rng = np.random.default_rng(5)
+    for n in (0, 16, 16 * (lm.ROWS + 3)):
+        a, b, w = (rng.normal(size=s) for s in ((n // 16, 16, 5), (n // 16, 16, 7), (5, 7)))
+        assert np.allclose(lm._dense(a, w), a @ w)
+        assert np.allclose(lm._product(a, b), a.reshape(-1, 5).T @ b.reshape(-1, 7))
+
+
 def test_scores_are_those_of_the_network_written_plainly():
     """Every token once, from the softmax over classes and tokens, with the attention written token by token."""
     rng = np.random.default_rng(6)
